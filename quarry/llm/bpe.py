@@ -119,21 +119,22 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     return arrow_map(encoded.select(id_col, ids_col), fn, schema)
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass, keeping digests only: ``(id, n_tokens, ids_sha256, decoded_sha256)``."""
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: ``(id, n_tokens, ids_sha256, decoded_sha256)``, and ``ids`` if they are kept."""
     path, pattern = path or rank_file(), pattern or split_pattern()
 
     def fn(batch: pa.RecordBatch) -> list:
         c = codec(path, pattern)
-        counts, of_ids, of_bytes = [], [], []
+        counts, of_ids, of_bytes, kept = [], [], [], []
         for text in texts(batch.column(1)):
             ids = c.encode(text)
             counts.append(len(ids))
             of_ids.append(hashlib.sha256(c.ids_text(ids)).hexdigest())
             of_bytes.append(hashlib.sha256(c.decode(ids)).hexdigest())
-        return [batch.column(0), counts, of_ids, of_bytes]
+            if keep_ids:
+                kept.append(ids)
+        return [batch.column(0), counts, of_ids, of_bytes, *([kept] if keep_ids else [])]
 
-    schema = T.StructType(
-        [field(docs, id_col), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    )
-    return arrow_map(docs.select(id_col, text_col), fn, schema)
+    names = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    names += [("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []
+    return arrow_map(docs.select(id_col, text_col), fn, T.StructType([field(docs, id_col), *(T.StructField(*x) for x in names)]))

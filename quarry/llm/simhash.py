@@ -17,6 +17,12 @@ Copies: only different fingerprints are joined, one row each with its smallest i
 points are split again by a second grid over the remaining coordinates, so that no cell is joined all against all.
 Components come from distributed star contraction; nothing but counts reaches the driver.
 
+Near copies by similarity: at a Jaccard similarity of 0.8 two whole-text fingerprints differ in about ten bits, more
+than a grid can search. ``near_copies`` therefore fingerprints ``SAMPLES`` min-wise samples of ``SAMPLE_SIZE``
+shingles each (the majority bits of the sampled shingles' hashes); two texts of similarity s agree in such a
+fingerprint with probability about ``s ** SAMPLE_SIZE``, so at 0.8 a pair is missed with a probability of 0.0002.
+Candidates are verified by the exact Jaccard similarity of their shingle sets.
+
 Defined results: a null text counts as empty; rows with a null id are fingerprinted, linked and returned, but never
 name a component, unless the whole component has null ids, whose component is null; repeated rows give repeated
 rows; an empty table gives an empty result; columns other than the id and the text are ignored.
@@ -35,6 +41,10 @@ from pyspark.sql import types as T
 from .common import arrow_map, connected_components, field, hex_of, table, utf8
 
 MAX_BITS = 4
+#: Min-wise samples per text and shingles in each.
+SAMPLES, SAMPLE_SIZE = 16, 4
+#: Keys up to which a side is broadcast after counting it; beyond that, joins shuffle.
+BROADCAST_KEYS = 1_000_000
 #: Points in a cell from which the cell is split by the second grid.
 HOT_CELL = 2000
 #: Largest number of different fingerprints for each number of groups.
@@ -148,3 +158,118 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS, i
     names = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = known.join(names, "root").select("fp", "component_id", "n_links")
     return prints.join(named, "fp").select(F.col(id_col), hex_of(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
+
+
+def _sample_prints(values: np.ndarray) -> list[int]:
+    """One fingerprint per min-wise sample of a set of shingle values (uint64, not empty)."""
+    rng = np.random.default_rng(5)
+    odd = rng.integers(0, 1 << 63, SAMPLES * SAMPLE_SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(odd), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for lo in range(0, len(values), 4096):
+        least = np.minimum(least, np.multiply.outer(odd, values[lo : lo + 4096]).min(axis=1))
+    bits = np.unpackbits(least.view(np.uint8).reshape(SAMPLES, SAMPLE_SIZE, 8), axis=2, bitorder="little").sum(1)
+    return np.packbits(2 * bits > SAMPLE_SIZE, axis=1, bitorder="little").view("<i8").reshape(-1).tolist()
+
+
+def _set_key(values: np.ndarray) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    key = xxh3_64_intdigest(values.tobytes())
+    return key - (1 << 64) if key >> 63 else key
+
+
+def sketches(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, version, shingles_key, samples)``: a hash of the text, one of its shingle set and the samples' fingerprints."""
+
+    def fn(batch: pa.RecordBatch) -> list:
+        keys, samples = [], []
+        for text in utf8(batch.column(2)):
+            values = np.unique(np.array(shingle_hashes(text, words), dtype=np.uint64))
+            keys.append(_set_key(values))
+            samples.append(_sample_prints(values) if len(values) else [])
+        return [batch.column(0), batch.column(1), keys, samples]
+
+    schema = T.StructType([field(docs, id_col), T.StructField("version", T.LongType()), T.StructField("shingles_key", T.LongType()), T.StructField("samples", T.ArrayType(T.LongType()))])
+    return arrow_map(docs.select(id_col, _version(text_col).alias("version"), text_col), fn, schema)
+
+
+def _version(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A broadcast hint if the keys are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def _shingle_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``(node, shingles)`` of the ``wanted(node)`` shingle sets, each from one document that has it."""
+    reps = rows.join(wanted, F.col("shingles_key") == F.col("node"), "left_semi").groupBy("shingles_key").agg(F.min(F.struct(id_col, "version")).alias("r"))
+    reps = table(reps.select(F.col("shingles_key").alias("node"), F.col(f"r.{id_col}").alias("_id"), F.col("r.version").alias("_v")), "representatives")
+    texts = docs.select(id_col, _version(text_col).alias("version"), text_col)
+    texts = texts.join(_small(reps.select("_id", "_v").distinct()), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_v")), "left_semi")
+
+    def fn(batch: pa.RecordBatch) -> list:
+        sets = [np.unique(np.array(shingle_hashes(t, words), dtype=np.uint64)) for t in utf8(batch.column(0))]
+        return [[_set_key(v) for v in sets], [v.view(np.int64) for v in sets]]
+
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    return arrow_map(texts.select(text_col), fn, schema).groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(u, v)`` whose shingle sets have at least that Jaccard similarity."""
+    a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    both = pairs.join(a, "u").join(b, "v")
+    n = F.size("a") + F.size("b")
+    fits = F.least(F.size("a"), F.size("b")) >= similarity * F.greatest(F.size("a"), F.size("b"))
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(fits).where(common >= similarity * (n - common)).select("u", "v")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, version, component)`` for every row: texts whose shingle sets are linked by at least ``similarity``.
+
+    Equal sets are one node. Nodes that share a sample's fingerprint are first held against the smallest node that has
+    it; then pairs that still lie in different components are held against each other. Links within a component
+    would add nothing, so that a large group of copies costs one comparison a copy.
+    """
+    rows = table(sketches(docs, words, id_col, text_col), "sketches")
+    nodes = rows.groupBy("shingles_key").agg(F.first("samples").alias("samples"))
+    cells = nodes.select(F.col("shingles_key").alias("node"), F.posexplode("samples").alias("choice", "key"))
+    shared = cells.groupBy("choice", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    member = table(cells.join(shared.select("choice", "key", "hub"), ["choice", "key"]), "members")
+    stars = table(member.where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "stars")
+    sets = table(_shingle_sets(docs, rows, member.select("node").distinct(), words, id_col, text_col), "shingle-sets")
+    found = table(_similar(stars, sets, similarity), "copies")
+    roots = connected_components(found)
+    placed = member.join(roots, "node", "left").select("choice", "key", "node", F.coalesce("root", "node").alias("root"))
+    a, b = placed.alias("a"), placed.alias("b")
+    apart = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+    rest = a.join(b, apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    more = table(_similar(rest, sets, similarity), "copies")
+    roots = table(connected_components(found.unionByName(more)), "roots")
+    return rows.join(roots, F.col("shingles_key") == F.col("node"), "left").select(id_col, "version", F.coalesce("root", "shingles_key").alias("component"))
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of near copies: the one with the smallest id (null ids last), all columns.
+
+    The texts stay where they are: the rows to drop are broadcast while they are few enough, else joined by shuffle.
+    """
+    placed = table(near_copies(docs, words, similarity, id_col, text_col), "placed")
+    rank = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "version")
+    least = placed.groupBy("component").agg(F.min(rank).alias("least"))
+    kept = least.select(F.col("least.id").alias("_id"), F.col("least.version").alias("_v"))
+    each = placed.groupBy(id_col, "version").agg(F.count("*").alias("n"))
+    mine = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_v"))
+    gone = table(each.join(kept, mine, "left_anti").select(F.col(id_col).alias("_id"), F.col("version").alias("_v")), "dropped")
+    repeated = table(each.where("n > 1").join(kept, mine, "left_semi").select(F.col(id_col).alias("_id"), F.col("version").alias("_v")), "repeated")
+    marked = docs.withColumn("_version", _version(text_col))
+    here = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v"))
+    left = marked.join(_small(gone), here, "left_anti")
+    if not repeated.isEmpty():
+        few = _small(repeated)
+        once = left.join(few, here, "left_semi").dropDuplicates([id_col, "_version"])
+        left = left.join(few, here, "left_anti").unionByName(once)
+    return left.select(*docs.columns)
