@@ -34,7 +34,7 @@ ORDER, SAMPLE = 5, 10_000
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Words of hosts and paths that are rejected wherever rules are silent.
 SEEDS = ("ads", "ads-track", "adserver", "adult", "adult-x", "casino", "click-track", "doubleclick", "malware", "phish", "porn", "spam", "tracker", "tracking", "xxx")
-#: Times that each seed word counts in the rejected model, and the margin per symbol asked of the accepted one.
+#: Times that each seed word counts in the rejected model.
 SEED_WEIGHT = 40
 _MODELS: dict[int, "Judge"] = {}
 _DIGITS = re.compile(r"[0-9]")
@@ -104,7 +104,7 @@ class Judge:
     threshold: float = 0.0
 
     def margin(self, text: str) -> float:
-        """Log-likelihood difference per symbol, and above it the highest pressure of one host word."""
+        """Log-likelihood difference per symbol."""
         if not text:
             return 0.0
         return (self.accepted.log_likelihood(text) - self.rejected.log_likelihood(text)) / len(text)
