@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -35,19 +36,24 @@ def table(df: DataFrame, label: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per context."""
+    """Send this package to the executors' Python workers, once per context, through the shared folder."""
     sc = spark.sparkContext
     if getattr(sc, "_quarry_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="quarry-ship-"), "quarry_package.zip")
-    with zipfile.ZipFile(archive, "w") as out:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
         for folder, _, names in os.walk(root):
             for name in names:
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     out.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(archive)
+    path = f"{shared_dir(spark)}/quarry-package-{uuid.uuid4().hex}.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(packed.getvalue())
+    stream.close()
+    sc.addPyFile(path)
     sc._quarry_shipped = True
 
 

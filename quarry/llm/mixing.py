@@ -115,13 +115,13 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float] | float], budget
     n = token_estimate(F.col(text_col))
     counted = tokens(docs, F.col(source), F.col(lang), topic, id_col, text_col)
     cells = table(probabilities(rake(counted, targets), budget), "probabilities")
-    keys = cells.select(*(F.col(a).alias(f"_{a}") for a in AXES), F.col("p").alias("_p"))
+    keys = cells.select(*(F.col(a).alias(f"__q_{a}") for a in AXES), F.col("p").alias("__q_p"))
     topics = length_topic(n) if topic is None else topic.cast("string")
-    marked = docs.withColumn("_n", n)
+    marked = docs.withColumn("__q_n", n)
     joined = marked.join(
         keys,
-        (F.coalesce(F.col(source).cast("string"), F.lit(NULL)) == F.col("_source"))
-        & (F.coalesce(F.col(lang).cast("string"), F.lit(NULL)) == F.col("_lang"))
-        & (F.coalesce(topics, F.lit(NULL)) == F.col("_topic")),
+        (F.coalesce(F.col(source).cast("string"), F.lit(NULL)) == F.col("__q_source"))
+        & (F.coalesce(F.col(lang).cast("string"), F.lit(NULL)) == F.col("__q_lang"))
+        & (F.coalesce(topics, F.lit(NULL)) == F.col("__q_topic")),
     )
-    return joined.where(draw(F.col(id_col), seed) < F.col("_p")).select(*docs.columns)
+    return joined.where(draw(F.col(id_col), seed) < F.col("__q_p")).select(*docs.columns)

@@ -127,9 +127,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove
     s = F.struct("start", "end")
     per_row = hits.groupBy(id_col, "version").agg(
         F.array_sort(F.collect_list(F.when(F.col("share") >= remove, s))).alias("remove"), F.array_sort(F.collect_list(F.when(F.col("share") < remove, s))).alias("generalise")
-    ).select(F.col(id_col).alias("_id"), F.col("version").alias("_v"), "remove", "generalise")
+    ).select(F.col(id_col).alias("__q_id"), F.col("version").alias("__q_v"), "remove", "generalise")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    joined = rows.join(per_row, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_v")), "left")
+    joined = rows.join(per_row, F.col(id_col).eqNullSafe(F.col("__q_id")) & (F.col("version") == F.col("__q_v")), "left")
     return joined.select(id_col, "version", *BASE, F.coalesce("remove", none).alias("remove"), F.coalesce("generalise", none).alias("generalise"))
 
 
@@ -154,10 +154,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.transform(F.col(name), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), F.lit(kind).alias("kind")))
 
     spans = F.array_sort(F.concat(*(ordered(k, i) for i, k in enumerate(KINDS))))
-    dirty = found.select(F.col(id_col).alias("_id"), F.col("version").alias("_v"), spans.alias("_spans")).where(F.size("_spans") > 0).groupBy("_id", "_v").agg(F.first("_spans").alias("_spans"))
+    dirty = found.select(F.col(id_col).alias("__q_id"), F.col("version").alias("__q_v"), spans.alias("__q_spans")).where(F.size("__q_spans") > 0).groupBy("__q_id", "__q_v").agg(F.first("__q_spans").alias("__q_spans"))
     text = F.col(text_col)
-    df = docs.withColumn("_version", F.xxhash64(F.coalesce(text, F.lit(""))))
-    df = df.join(dirty, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")), "left")
+    df = docs.withColumn("__q_version", F.xxhash64(F.coalesce(text, F.lit(""))))
+    df = df.join(dirty, F.col(id_col).eqNullSafe(F.col("__q_id")) & (F.col("__q_version") == F.col("__q_v")), "left")
     piece = F.struct(F.lit(0).alias("to"), F.lit("").alias("out"))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in BASE), F.lit("[TERM]"), F.lit(""))
 
@@ -166,5 +166,5 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         fresh = F.concat(acc["out"], F.substring(text, acc["to"] + 1, s["start"] - acc["to"]), F.get(names, s["kind"]), F.when(s["kind"] == 5, F.concat(F.substring(text, s["start"] + 1, F.lit(1)), F.lit("."))).otherwise(""))
         return F.struct(F.greatest(acc["to"], end).alias("to"), F.when(s["start"] >= acc["to"], fresh).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate(F.col("_spans"), piece, step, lambda a: F.concat(a["out"], F.substring(text, a["to"] + 1, F.lit(2147483647))))
-    return df.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(clean)).select(*docs.columns)
+    clean = F.aggregate(F.col("__q_spans"), piece, step, lambda a: F.concat(a["out"], F.substring(text, a["to"] + 1, F.lit(2147483647))))
+    return df.withColumn(text_col, F.when(F.col("__q_spans").isNull(), text).otherwise(clean)).select(*docs.columns)

@@ -101,5 +101,23 @@ def _mixing_sql() -> str:
     return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, topic, n_tokens, round(weight, 6) AS weight, round(p, 6) AS p, {draw} < p AS kept FROM topical JOIN shares USING (source, lang, topic)"
 
 
+def _secrets_sql() -> str:
+    """The secret scan: positions as running lengths of gaps and matches. RE2 needs neither possessive marks nor look-behind."""
+    assign = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    kinds = {"assign": assign, "access": "AKIA[A-Z0-9]{12,}", "hex": "[0-9a-f]{32,}", "loose": "[A-Za-z0-9+/_=-]{20,}"}
+    found = " UNION ALL ".join(f"SELECT doc_id, {i} AS rank, '{k}' AS kind, regexp_extract_all(text, $${rx}$$) AS a, regexp_split_to_array(text, $${rx}$$) AS g FROM d" for i, (k, rx) in enumerate(kinds.items()))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documents), found AS ({found}),
+  flat AS (SELECT doc_id, rank, kind, unnest(a) AS m, unnest(g[1:len(a)]) AS gap, generate_subscripts(a, 1) AS k FROM found),
+  placed AS (SELECT doc_id, rank, kind, m, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY k)::BIGINT AS e FROM flat),
+  spans AS (SELECT *, e - length(m) AS s, CASE WHEN kind = 'assign' THEN regexp_extract(m, $$^{assign}$$, 2) ELSE m END AS value FROM placed),
+  good AS (SELECT * FROM spans WHERE CASE kind WHEN 'assign' THEN length(value) >= 8 WHEN 'loose' THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') ELSE true END),
+  held AS (SELECT value, count(DISTINCT text) AS repositories, count(DISTINCT source) AS owners FROM good JOIN d USING (doc_id) GROUP BY value),
+  added AS (SELECT DISTINCT doc_id, CASE WHEN owners >= {secrets.OWNERS} OR repositories >= {secrets.REPOSITORIES} THEN 4 ELSE 3 END AS rank, s, e FROM good JOIN held USING (value)
+    WHERE owners >= {secrets.OWNERS} OR repositories >= {secrets.REPOSITORIES} OR len(list_distinct(string_split(value, ''))) >= {secrets.VARIETY}),
+  named AS (SELECT doc_id, rank, s, e, ['assign', 'access', 'hex', 'live', 'copied'][rank + 1] || ':' || s || ':' || e AS x FROM (SELECT doc_id, rank, s, e FROM good WHERE kind <> 'loose' UNION ALL SELECT doc_id, rank, s, e FROM added)),
+  per AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS a, count(*) FILTER (WHERE rank = 1) AS b, count(*) FILTER (WHERE rank = 2) AS c, string_agg(x, ',' ORDER BY s, rank, e) FILTER (WHERE rank < 3) AS base, string_agg(x, ',' ORDER BY s, rank, e) AS spans FROM named GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": _mixing_sql()}
+    return {"op2_mixing": _mixing_sql(), "op5_secrets": _secrets_sql()}

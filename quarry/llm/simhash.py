@@ -205,9 +205,9 @@ def _small(df: DataFrame) -> DataFrame:
 def _shingle_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """``(node, shingles)`` of the ``wanted(node)`` shingle sets, each from one document that has it."""
     reps = rows.join(wanted, F.col("shingles_key") == F.col("node"), "left_semi").groupBy("shingles_key").agg(F.min(F.struct(id_col, "version")).alias("r"))
-    reps = table(reps.select(F.col("shingles_key").alias("node"), F.col(f"r.{id_col}").alias("_id"), F.col("r.version").alias("_v")), "representatives")
+    reps = table(reps.select(F.col("shingles_key").alias("node"), F.col(f"r.{id_col}").alias("__q_id"), F.col("r.version").alias("__q_v")), "representatives")
     texts = docs.select(id_col, _version(text_col).alias("version"), text_col)
-    texts = texts.join(_small(reps.select("_id", "_v").distinct()), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_v")), "left_semi")
+    texts = texts.join(_small(reps.select("__q_id", "__q_v").distinct()), F.col(id_col).eqNullSafe(F.col("__q_id")) & (F.col("version") == F.col("__q_v")), "left_semi")
 
     def fn(batch: pa.RecordBatch) -> list:
         sets = [np.unique(np.array(shingle_hashes(t, words), dtype=np.uint64)) for t in utf8(batch.column(0))]
@@ -260,16 +260,16 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     placed = table(near_copies(docs, words, similarity, id_col, text_col), "placed")
     rank = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "version")
     least = placed.groupBy("component").agg(F.min(rank).alias("least"))
-    kept = least.select(F.col("least.id").alias("_id"), F.col("least.version").alias("_v"))
+    kept = least.select(F.col("least.id").alias("__q_id"), F.col("least.version").alias("__q_v"))
     each = placed.groupBy(id_col, "version").agg(F.count("*").alias("n"))
-    mine = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_v"))
-    gone = table(each.join(kept, mine, "left_anti").select(F.col(id_col).alias("_id"), F.col("version").alias("_v")), "dropped")
-    repeated = table(each.where("n > 1").join(kept, mine, "left_semi").select(F.col(id_col).alias("_id"), F.col("version").alias("_v")), "repeated")
-    marked = docs.withColumn("_version", _version(text_col))
-    here = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v"))
+    mine = F.col(id_col).eqNullSafe(F.col("__q_id")) & (F.col("version") == F.col("__q_v"))
+    gone = table(each.join(kept, mine, "left_anti").select(F.col(id_col).alias("__q_id"), F.col("version").alias("__q_v")), "dropped")
+    repeated = table(each.where("n > 1").join(kept, mine, "left_semi").select(F.col(id_col).alias("__q_id"), F.col("version").alias("__q_v")), "repeated")
+    marked = docs.withColumn("__q_version", _version(text_col))
+    here = F.col(id_col).eqNullSafe(F.col("__q_id")) & (F.col("__q_version") == F.col("__q_v"))
     left = marked.join(_small(gone), here, "left_anti")
     if not repeated.isEmpty():
         few = _small(repeated)
-        once = left.join(few, here, "left_semi").dropDuplicates([id_col, "_version"])
+        once = left.join(few, here, "left_semi").dropDuplicates([id_col, "__q_version"])
         left = left.join(few, here, "left_anti").unionByName(once)
     return left.select(*docs.columns)
