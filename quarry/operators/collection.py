@@ -122,7 +122,14 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def expand_sitemaps(roots: DataFrame, links: DataFrame, max_depth: int = 20) -> DataFrame:
-    """``(url, depth)`` reachable from ``roots(url)`` over ``links(parent, url)``, each at its smallest depth."""
+    """``(url, depth)`` reachable from ``roots(url)`` over ``links(parent, url)``, each at its smallest depth.
+
+    Every level is checkpointed into the session's checkpoint folder; one of its own is set only where there is none.
+    """
+    if roots.sparkSession.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        roots.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
     seen = front = roots.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
     for depth in range(1, max_depth + 1):
         front = links.join(front.select(F.col("url").alias("parent")), "parent").select("url").distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
@@ -130,3 +137,47 @@ def expand_sitemaps(roots: DataFrame, links: DataFrame, max_depth: int = 20) ->
             break
         seen = seen.unionByName(front)
     return seen
+
+
+def zip_checked(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One-to-one join that fails if either side lacks a key or has one twice."""
+    r = right.withColumn("_right", F.lit(1))
+    both = left.withColumn("_left", F.lit(1)).join(r, key, "full").withColumn("_n", F.count("*").over(W.partitionBy(key)))
+    fine = F.col("_left").isNotNull() & F.col("_right").isNotNull() & (F.col("_n") == 1)
+    checked = F.when(fine, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("no single partner for key "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    return both.withColumn(key, checked.cast(left.schema[key].dataType)).drop("_left", "_right", "_n")
+
+
+def evict(archived: DataFrame, pages: DataFrame) -> DataFrame:
+    """``pages`` whose content is in the archive under the same hash keep a reference instead of their HTML."""
+    kept = archived.select("url", F.col("archive_sha256").alias("_h")).distinct()
+    digest = F.sha2(F.col("html").cast("binary"), 256)
+    joined = pages.withColumn("_d", digest).join(kept, (pages["url"] == kept["url"]) & (F.col("_d") == F.col("_h")), "left").drop(kept["url"])
+    return joined.withColumn("html", F.when(F.col("_h").isNull(), F.col("html"))).withColumn("archive_ref", F.col("_h")).drop("_d", "_h")
+
+
+def restore_sample(archived: DataFrame, live: DataFrame, per_mille: int = 10) -> DataFrame:
+    """``(checked, broken)`` of a hashed sample of archived pages against the live ones."""
+    sample = archived.where(F.pmod(F.xxhash64("url"), F.lit(1000)) < per_mille).select("url", "archive_sha256")
+    both = sample.join(live.select("url", F.sha2(F.col("html").cast("binary"), 256).alias("d")), "url", "left")
+    return both.agg(F.count("*").alias("checked"), F.count_if(~F.coalesce(F.col("d") == F.col("archive_sha256"), F.lit(False))).alias("broken"))
+
+
+def repair_urls(frontier: DataFrame, rewrite: Column) -> tuple[DataFrame, DataFrame]:
+    """``(repaired, report)``: URLs rewritten where the target is free; taken targets make the old row ``excluded``.
+
+    Pure transforms: running them twice changes nothing, and the report alone is the dry run.
+    """
+    moved = frontier.withColumn("_to", rewrite)
+    taken = frontier.select(F.col("url").alias("_to"), F.lit(True).alias("_taken"))
+    first = F.row_number().over(W.partitionBy("_to").orderBy("url"))
+    marked = moved.join(taken, "_to", "left").withColumn("_k", first)
+    change = F.when(F.col("_to") == F.col("url"), "kept").when(F.col("_taken").isNotNull() | (F.col("_k") > 1), "excluded").otherwise("moved")
+    marked = marked.withColumn("_change", change)
+    repaired = marked.withColumns({"url": F.when(F.col("_change") == "moved", F.col("_to")).otherwise(F.col("url")), "state": F.when(F.col("_change") == "excluded", "excluded").otherwise(F.col("state"))}).select(*frontier.columns)
+    return repaired, marked.groupBy(F.col("_change").alias("change")).agg(F.count("*").alias("n"))
+
+
+def listing_redirects(fetches: DataFrame, listing: Column) -> DataFrame:
+    """URLs whose answer led to a listing page: ``fetches(url, final_url)``; they are excluded from the corpus."""
+    return fetches.where((F.col("final_url") != F.col("url")) & listing).select("url").distinct()

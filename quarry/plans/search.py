@@ -116,9 +116,9 @@ def first_hits(hits: DataFrame, corpus: DataFrame, limit: int, columns: tuple[st
     """The first ``limit`` hits by id with the total over all, joined with their documents only after the limit."""
     if not 1 <= limit <= MAX_RESULTS:
         raise QueryError(f"the limit is 1 to {MAX_RESULTS}")
-    total = hits.agg(F.count("*").alias("total"))
+    total = hits.agg(F.count("*").alias("total")).scalar()
     top = hits.orderBy(id_col).limit(limit)
-    return corpus.select(id_col, *columns).join(F.broadcast(top), id_col).crossJoin(total)
+    return corpus.select(id_col, *columns).join(F.broadcast(top), id_col).withColumn("total", total)
 
 
 def metadata_filter(corpus: DataFrame, years: list[int] = (), types: list[str] = (), sources: list[str] = (), id_col: str = "doc_id") -> DataFrame:
@@ -163,8 +163,8 @@ def ranked_search(query: str, spark: SparkSession, postings: DataFrame, norms: D
         chosen = chosen.join(allowed, id_col, "left_semi")
     dots = chosen.join(F.broadcast(weights), "term").groupBy(id_col).agg(F.sum(log_tf(F.col("tf")) * F.col("w")).alias("dot"), F.first("q_norm").alias("q_norm"))
     scored = dots.join(norms, id_col).select(id_col, F.round(F.col("dot") / (F.col("q_norm") * F.col("norm")), 9).alias("score")).where("score > 0")
-    total = scored.agg(F.count("*").alias("total"))
-    return scored.orderBy(F.desc("score"), id_col).limit(limit).crossJoin(total)
+    total = scored.agg(F.count("*").alias("total")).scalar()
+    return scored.orderBy(F.desc("score"), id_col).limit(limit).withColumn("total", total)
 
 
 def diagnostic_search(queries: DataFrame, tokens: DataFrame, lemma_tokens: DataFrame, lemmas: DataFrame, k: int = 10, id_col: str = "doc_id") -> DataFrame:
@@ -175,9 +175,9 @@ def diagnostic_search(queries: DataFrame, tokens: DataFrame, lemma_tokens: DataF
     """
     asked = queries.select("query_id", "term").distinct()
     n = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    exact = tokens.join(F.broadcast(asked), "term").groupBy("query_id", "term", id_col).agg(F.max((F.col("field") == 0).cast("int")).alias("title"))
+    exact = tokens.join(asked, "term").groupBy("query_id", "term", id_col).agg(F.max((F.col("field") == 0).cast("int")).alias("title"))
     by_lemma = asked.join(lemmas.select("term", F.explode("lemmas").alias("lemma")), "term")
-    loose = lemma_tokens.withColumnRenamed("term", "lemma").join(F.broadcast(by_lemma), "lemma").groupBy("query_id", "term", id_col).agg(F.max((F.col("field") == 0).cast("int")).alias("title"))
+    loose = lemma_tokens.withColumnRenamed("term", "lemma").join(by_lemma, "lemma").groupBy("query_id", "term", id_col).agg(F.max((F.col("field") == 0).cast("int")).alias("title"))
     e = exact.groupBy("query_id", id_col).agg(F.count("*").alias("met"), F.sum("title").alias("titles"))
     l = loose.groupBy("query_id", id_col).agg(F.count("*").alias("met"), F.sum("title").alias("titles"))  # noqa: E741
     both = l.join(e.select("query_id", id_col, F.col("met").alias("exactly")), ["query_id", id_col], "left").join(n, "query_id").where("met = n")

@@ -259,7 +259,7 @@ def front_coding(spark, sf):
 def inspect(spark, sf):
     """One term's document frequency and its first documents."""
     one = ix.postings(tokens(spark, sf).where("term = 'rewh'"))
-    return one.orderBy("doc_id").limit(20).crossJoin(one.agg(F.count("*").alias("df"))).select("doc_id", "tf", "df")
+    return one.orderBy("doc_id").limit(20).withColumn("df", one.agg(F.count("*")).scalar()).select("doc_id", "tf", "df")
 
 
 @register(
@@ -544,6 +544,18 @@ def lemma_tfidf(spark, sf):
     return se.ranked_search("er rewh", spark, p, ix.norms(p), lt, read(spark, sf, "documents").count(), 20, lemmas=asked)
 
 
+@register(
+    "q10_batch",
+    f"""WITH {POSTINGS}, q AS (SELECT DISTINCT query_id, {_FOLD.format('raw')} AS term FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(text, $${tx.TOKEN_RE2}$$)) AS raw FROM benchmark)), n AS (SELECT query_id, count(*) AS n FROM q GROUP BY query_id)
+SELECT query_id, doc_id FROM postings JOIN q USING (term) GROUP BY query_id, doc_id HAVING count(*) = (SELECT n FROM n WHERE n.query_id = q.query_id)""",
+)
+def batch_queries(spark, sf):
+    """All benchmark passages as conjunctive queries at once."""
+    from .plans.batch import conjunctive
+
+    return conjunctive(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), ix.postings(tokens(spark, sf)))
+
+
 # Collection
 
 
@@ -695,6 +707,35 @@ def robots(spark, sf):
     return co.robots_allowed(u, spark.createDataFrame(_ROBOTS, "host string, prefix string, allow boolean")).select("page_id", "allowed")
 
 
+@register("s4_zip", "SELECT doc_id, source, quality, toxic FROM documents JOIN labels USING (doc_id)")
+def zip_labels(spark, sf):
+    """Labelled documents joined one to one with their labels; a missing or repeated partner would be an error."""
+    labels = read(spark, sf, "labels")
+    labelled = read(spark, sf, "documents").select("doc_id", "source").join(labels.select("doc_id"), "doc_id", "left_semi")
+    return co.zip_checked(labelled, labels, "doc_id").select("doc_id", "source", "quality", "toxic")
+
+
+@register(
+    "c19_url_repair",
+    r"""WITH f AS (SELECT url, regexp_replace(url, '\.html$', '/') AS target, CASE WHEN page_id % 2 = 0 THEN 'done' ELSE 'pending' END AS state FROM pages),
+  m AS (SELECT *, target <> url AND (EXISTS (SELECT 1 FROM f o WHERE o.url = f.target) OR row_number() OVER (PARTITION BY target ORDER BY url) > 1) AS taken FROM f)
+SELECT CASE WHEN target <> url AND NOT taken THEN target ELSE url END AS url, CASE WHEN taken THEN 'excluded' ELSE state END AS state FROM m""",
+)
+def url_repair(spark, sf):
+    f = read(spark, sf, "pages").select("url", F.when(F.col("page_id") % 2 == 0, "done").otherwise("pending").alias("state"))
+    return co.repair_urls(f, F.regexp_replace("url", "\\.html$", "/"))[0]
+
+
+@register(
+    "c20_valid_rows",
+    "SELECT doc_id, regexp_full_match(source, '[a-z][a-z0-9_]{0,63}') AS valid_source, octet_length(encode(text)) AS bytes FROM documents",
+)
+def valid_rows(spark, sf):
+    from .sources.corpus import valid_source, valid_text
+
+    return read(spark, sf, "documents").select("doc_id", valid_source("source").alias("valid_source"), F.octet_length(valid_text("text")).cast("long").alias("bytes"))
+
+
 @register("c15_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windows(spark, sf):
     return fr.windowed_counts(read(spark, sf, "events"), "ts", "event_type").withColumn("total", F.round("total", 4))

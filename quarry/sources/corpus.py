@@ -172,3 +172,39 @@ def verify_archive(spark: SparkSession, path: str) -> DataFrame:
 def archived_page(spark: SparkSession, path: str, url: str) -> DataFrame:
     """One archived page; the files are sorted by URL, so that the scan reads few row groups."""
     return spark.read.parquet(path).where(F.col("url") == url)
+
+
+def valid_text(column: str) -> F.Column:
+    """The text if its bytes are UTF-8; an error with the column's name otherwise."""
+    return F.when(F.is_valid_utf8(F.col(column)), F.col(column)).otherwise(F.raise_error(F.lit(f"column {column} is not UTF-8")))
+
+
+def valid_source(column: str) -> F.Column:
+    """Is it an identifier of a source?"""
+    return F.coalesce(F.col(column).rlike(SOURCE), F.lit(False))
+
+
+def latest_snapshot(manifests: DataFrame) -> DataFrame:
+    """The path of the newest of ``manifests(path, created_at)``."""
+    return manifests.agg(F.max_by("path", F.struct("created_at", "path")).alias("path"))
+
+
+def read_wordnet_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """``(key, lemma)`` from a WordNet database folder: ``index.<pos>`` lines give base forms, ``<pos>.exc`` exceptions."""
+    names = {"noun": "n", "verb": "v", "adj": "a", "adv": "r"}
+    out = None
+    for name, pos in names.items():
+        base = spark.read.text(f"{folder}/index.{name}").where(~F.col("value").startswith(" ")).select(F.split("value", " ")[0].alias("w")).where(F.col("w").rlike("^[a-z]+$"))
+        base = base.select(F.concat(F.lit(f"{pos}:"), "w").alias("key"), F.col("w").alias("lemma"))
+        words = spark.read.text(f"{folder}/{name}.exc").select(F.split(F.trim("value"), " +").alias("w")).where((F.size("w") > 1) & F.col("w")[0].rlike("^[a-z]+$"))
+        exc = words.select(F.concat(F.lit(f"x:{pos}:"), F.col("w")[0]).alias("key"), F.explode(F.slice("w", 2, 64)).alias("lemma"))
+        both = base.unionByName(exc)
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def read_lexicon_xml(spark: SparkSession, path: str) -> DataFrame:
+    """``(key, lemma)`` from a lexicon in XML: ``<lemma><l t="base"/><f t="form"/>...</lemma>`` entries of Cyrillic words."""
+    rows = spark.read.format("xml").option("rowTag", "lemma").schema("l struct<_t:string>, f array<struct<_t:string>>").load(path)
+    forms = rows.select(F.lower("l._t").alias("lemma"), F.explode(F.transform("f", lambda x: F.lower(x["_t"]))).alias("form"))
+    return forms.where(F.col("form").rlike("^[а-яё]+$") & F.col("lemma").rlike("^[а-яё]+$")).select(F.concat(F.lit("ru:"), "form").alias("key"), "lemma").distinct()
