@@ -34,7 +34,7 @@ BASE = KINDS[:4]
 #: Words that stand alone: no part of an address, a number or a hyphenated token.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![\p{N}@_%+-])(?!\.[\p{L}\p{N}])"
 WINDOW, SUPPORT, REMOVE, GENERALISE = 100, 2, 0.9, 0.75
-BROADCAST_TERMS = 200_000
+BROADCAST_TERMS, BROADCAST_KEYS = 200_000, 1_000_000
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
 
@@ -146,7 +146,8 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every base span replaced by ``[KIND]``, removed terms by ``[TERM]``, generalised ones by their initial.
 
-    Overlapping spans become one, named after its first (of two that begin together, the longer).
+    Overlapping spans become one, named after its first (of two that begin together, the longer). Texts without spans
+    stay where they are as long as the keys of the others can be broadcast; else all rows are joined by shuffle.
     """
     found = find(docs, id_col, text_col)
 
@@ -154,10 +155,16 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.transform(F.col(name), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), F.lit(kind).alias("kind")))
 
     spans = F.array_sort(F.concat(*(ordered(k, i) for i, k in enumerate(KINDS))))
-    dirty = found.select(F.col(id_col).alias("__q_id"), F.col("version").alias("__q_v"), spans.alias("__q_spans")).where(F.size("__q_spans") > 0).groupBy("__q_id", "__q_v").agg(F.first("__q_spans").alias("__q_spans"))
+    key = [F.col(id_col).alias("__q_id"), F.col("version").alias("__q_v")]
+    dirty = table(found.select(*key, spans.alias("__q_spans")).where(F.size("__q_spans") > 0).groupBy("__q_id", "__q_v").agg(F.first("__q_spans").alias("__q_spans")), "pii-spans")
     text = F.col(text_col)
     df = docs.withColumn("__q_version", F.xxhash64(F.coalesce(text, F.lit(""))))
-    df = df.join(dirty, F.col(id_col).eqNullSafe(F.col("__q_id")) & (F.col("__q_version") == F.col("__q_v")), "left")
+    same = F.col(id_col).eqNullSafe(F.col("__q_id")) & (F.col("__q_version") == F.col("__q_v"))
+    clean_rows = None
+    if dirty.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(dirty.select("__q_id", "__q_v"))
+        clean_rows, df = df.join(keys, same, "left_anti"), df.join(keys, same, "left_semi")
+    df = df.join(dirty, same, "left")
     piece = F.struct(F.lit(0).alias("to"), F.lit("").alias("out"))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in BASE), F.lit("[TERM]"), F.lit(""))
 
@@ -167,4 +174,5 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.struct(F.greatest(acc["to"], end).alias("to"), F.when(s["start"] >= acc["to"], fresh).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate(F.col("__q_spans"), piece, step, lambda a: F.concat(a["out"], F.substring(text, a["to"] + 1, F.lit(2147483647))))
-    return df.withColumn(text_col, F.when(F.col("__q_spans").isNull(), text).otherwise(clean)).select(*docs.columns)
+    done = df.withColumn(text_col, F.when(F.col("__q_spans").isNull(), text).otherwise(clean)).select(*docs.columns)
+    return done if clean_rows is None else done.unionByName(clean_rows.select(*docs.columns))
