@@ -242,13 +242,14 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     stars = table(member.where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "stars")
     sets = table(_shingle_sets(docs, rows, member.select("node").distinct(), words, id_col, text_col), "shingle-sets")
     found = table(_similar(stars, sets, similarity), "copies")
-    roots = connected_components(found)
+    roots = table(connected_components(found), "roots")
     placed = member.join(roots, "node", "left").select("choice", "key", "node", F.coalesce("root", "node").alias("root"))
     a, b = placed.alias("a"), placed.alias("b")
     apart = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
     rest = a.join(b, apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     more = table(_similar(rest, sets, similarity), "copies")
-    roots = table(connected_components(found.unionByName(more)), "roots")
+    if not more.isEmpty():
+        roots = table(connected_components(found.unionByName(more)), "roots")
     return rows.join(roots, F.col("shingles_key") == F.col("node"), "left").select(id_col, "version", F.coalesce("root", "shingles_key").alias("component"))
 
 
