@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 STATES = ("pending", "in_progress", "done", "retry", "blocked", "gone", "excluded")
 
 
@@ -124,12 +126,9 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def expand_sitemaps(roots: DataFrame, links: DataFrame, max_depth: int = 20) -> DataFrame:
     """``(url, depth)`` reachable from ``roots(url)`` over ``links(parent, url)``, each at its smallest depth.
 
-    Every level is checkpointed into the session's checkpoint folder; one of its own is set only where there is none.
+    Every level is checkpointed into the folder that the executors share.
     """
-    if roots.sparkSession.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        roots.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+    shared_dir(roots.sparkSession)
     seen = front = roots.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
     for depth in range(1, max_depth + 1):
         front = links.join(front.select(F.col("url").alias("parent")), "parent").select("url").distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()

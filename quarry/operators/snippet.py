@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import TOKEN_RE2
+from ..sources.shared import ship
 
 MAX_BYTES, LEAD, MAX_SPANS, MAX_TERM = 600, 200, 64, 256
 _TOKEN = re.compile(
@@ -108,6 +109,7 @@ def snippet(text: str, terms: dict[str, int]) -> tuple[str, list[tuple[int, int]
 
 def with_snippets(hits: DataFrame, terms: dict[str, int], body_col: str = "body") -> DataFrame:
     """``hits`` with ``snippet, snippet_matches, snippet_left, snippet_right``. For results after their limit."""
+    ship(hits.sparkSession)
     span = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     kind = T.StructType([T.StructField("snippet", T.StringType()), T.StructField("snippet_matches", span), T.StructField("snippet_left", T.BooleanType()), T.StructField("snippet_right", T.BooleanType())])
 

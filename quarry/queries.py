@@ -18,6 +18,7 @@ from .operators import snippet as sn
 from .operators import statistics as st
 from .plans import search as se
 from .sources.corpus import corpus_of
+from .sources.shared import ship
 from .streaming import frontier as fr
 
 QUERIES: dict[str, tuple] = {}
@@ -214,6 +215,7 @@ def response_classes(spark, sf):
 
 @register("f7_parse_html")
 def parse_html(spark, sf):
+    ship(spark)
     return read(spark, sf, "pages").select("page_id", web.parse_html("html").alias("p")).select("page_id", "p.title", F.length("p.text").alias("text_chars"), F.length("p.body").alias("body_chars"), F.sha2("p.body", 256).alias("body_sha256"))
 
 
@@ -755,3 +757,39 @@ def page_dedup(spark, sf):
 def duplicate_texts(spark, sf):
     """Texts that occur more than once."""
     return read(spark, sf, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+
+
+# Streams
+
+
+def _stream(spark, sf, name: str) -> DataFrame:
+    """A table as a stream of files; times without a zone are read as times of the session's zone."""
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return stream.select(*(F.col(c).cast("timestamp") if t == "timestamp_ntz" else F.col(c) for c, t in stream.dtypes))
+
+
+@register("t1_stream_windows", QUERIES["c15_windows"][1])
+def stream_windows(spark, sf):
+    """The windows of ``c15_windows`` over a stream of the events."""
+    return fr.drain(fr.windowed_counts(_stream(spark, sf, "events"), "ts", "event_type"), "complete").withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 4)})
+
+
+@register("t2_stream_versions", "SELECT DISTINCT user_id AS url, event_type AS generation FROM events")
+def stream_versions(spark, sf):
+    """The first row of every page version within a watermark that spans the log."""
+    pages = _stream(spark, sf, "events").select(F.col("user_id").alias("url"), F.col("event_type").alias("generation"), "ts")
+    return fr.drain(fr.first_versions(pages, "ts", "60 days")).select("url", "generation")
+
+
+@register(
+    "t3_stream_frontier",
+    """WITH e AS (SELECT user_id::VARCHAR AS url, event_id AS fetched, event_type, min(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id) AS gone FROM events),
+  a AS (SELECT *, gone IS NOT NULL AND fetched >= gone AS is_gone FROM e)
+SELECT url, fetched, CASE WHEN is_gone THEN 'gone' WHEN event_type = 'error' THEN 'retry' ELSE 'done' END AS state FROM a""",
+)
+def stream_frontier(spark, sf):
+    """The frontier's state machine over the events: errors are server errors, sign-ups stand for pages that are gone."""
+    response = F.when(F.col("event_type") == "error", "server_error").when(F.col("event_type") == "signup", "not_found").otherwise("valid")
+    answers = _stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("at"), response.alias("response"), F.col("event_type").alias("digest"))
+    return fr.drain(fr.frontier_states(answers, max_attempts=1_000_000, retry_after=0)).select("url", F.col("at").alias("fetched"), "state")

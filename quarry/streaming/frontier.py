@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import remove_at_exit, shared_dir, ship
+
 STATE = "state string, attempts int, available_at long, digest string, generation long"
 OUTPUT = "url string, at long, state string, attempts int, available_at long, changed boolean, generation long"
 
@@ -33,6 +36,8 @@ def frontier_states(answers: DataFrame, max_attempts: int = 5, retry_after: int
     counts, as it comes. Blocked and gone URLs stay so.
     """
 
+    ship(answers.sparkSession)
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         now = held.get if held.exists else ("pending", 0, 0, None, 0)
         rows = []
@@ -69,3 +74,20 @@ def follow(source: DataFrame, sink: str, checkpoint: str, transform) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     source.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All that a streaming query has to say about what its source holds now, as a table in the shared folder.
+
+    In ``complete`` mode the last batch is the result, in ``append`` mode all batches are.
+    """
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/quarry-stream-{uuid.uuid4().hex}"
+    remove_at_exit(spark, root)
+
+    def publish(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out" if mode == "complete" else f"{root}/out/batch={number}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(publish).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).option("basePath", f"{root}/out").option("recursiveFileLookup", True).parquet(f"{root}/out")
