@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,49 +10,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import remove_at_exit, shared_dir, ship
+
 #: Rows of an Arrow batch that are worked on at once; bounds the Python objects alive in a worker.
 ROWS_AT_ONCE = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one where it is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 def table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` into the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table stays until the driver ends, since results that read it are lazy.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per context, through the shared folder."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quarry_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as out:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
-    path = f"{shared_dir(spark)}/quarry-package-{uuid.uuid4().hex}.zip"
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
-    stream.write(packed.getvalue())
-    stream.close()
-    sc.addPyFile(path)
-    sc._quarry_shipped = True
-
-
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: T.StructType, at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """``df.mapInArrow`` with small slices: ``fn`` gets a record batch and returns the arrays of ``schema``, in order."""
     from pyspark.sql.pandas.types import to_arrow_schema
