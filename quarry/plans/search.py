@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import idf, log_tf, tokenize
+from ..sources.shared import table
 from .language import And, Not, Or, QueryError, Term, parse, true_for_nothing
 
 MAX_TERMS, MAX_RESULTS = 512, 1000
@@ -151,7 +152,8 @@ def ranked_search(query: str, spark: SparkSession, postings: DataFrame, norms: D
     if len(words) > 64 or len(phrases) > 64 or len(bag) > MAX_TERMS:
         raise QueryError("the query is too long")
     asked = spark.createDataFrame(list(bag.items()), "term string, q int")
-    chosen = postings.where(F.col("term").isin(*bag)) if bag else postings.where(F.lit(False))
+    # Read once: frequencies, weights and scores all need them, and they are few against the corpus.
+    chosen = table(postings.where(F.col("term").isin(*bag)) if bag else postings.where(F.lit(False)), "query-postings")
     df = chosen.groupBy("term").agg(F.count("*").alias("df"))
     n = F.lit(n_documents) if isinstance(n_documents, int) else n_documents
     weights = F.broadcast(asked).join(df, "term").select("term", (log_tf(F.col("q")) * idf(n, F.col("df"))).alias("w"))
@@ -163,6 +165,7 @@ def ranked_search(query: str, spark: SparkSession, postings: DataFrame, norms: D
         chosen = chosen.join(allowed, id_col, "left_semi")
     dots = chosen.join(F.broadcast(weights), "term").groupBy(id_col).agg(F.sum(log_tf(F.col("tf")) * F.col("w")).alias("dot"), F.first("q_norm").alias("q_norm"))
     scored = dots.join(norms, id_col).select(id_col, F.round(F.col("dot") / (F.col("q_norm") * F.col("norm")), 9).alias("score")).where("score > 0")
+    scored = table(scored, "hits")
     total = scored.agg(F.count("*").alias("total")).scalar()
     return scored.orderBy(F.desc("score"), id_col).limit(limit).withColumn("total", total)
 

@@ -49,8 +49,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, least: int = 16 << 20) -> DataFrame:
+    """A small table in as many partitions as there are cores: one file with one row group is one task otherwise.
+
+    Only where a core's share is below ``least`` bytes; larger tables are read in enough partitions, and their rows stay
+    where they are. Hashing by the key lets aggregations by that key go without a further exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * least else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_of(read(spark, sf_dir, "documents"))
+    return corpus_of(spread(read(spark, sf_dir, "documents"), "doc_id"))
 
 
 def tokens(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
