@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,24 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import remove_at_exit, shared_dir, ship
+from ..sources.shared import ship, table
 
 #: Rows of an Arrow batch that are worked on at once; bounds the Python objects alive in a worker.
 ROWS_AT_ONCE = 256
 
 
-def table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts the lineage, survives lost executors.
-
-    The table stays until the driver ends, since results that read it are lazy.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: T.StructType, at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """``df.mapInArrow`` with small slices: ``fn`` gets a record batch and returns the arrays of ``schema``, in order."""
     from pyspark.sql.pandas.types import to_arrow_schema
