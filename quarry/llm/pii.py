@@ -4,11 +4,12 @@ Base spans are e-mail addresses, IPv4 addresses, payment cards (Luhn) and phone
 protected entity. Terms (words of four letters and more) within ``WINDOW`` code points of an entity may give it away:
 over the whole corpus, with documents as events, the pointwise mutual information PMI(entity; term) is set against the
 entity's own information IC(entity) = -log p(entity). A term whose PMI reaches ``REMOVE`` of the IC says nearly as
-much as the entity itself and is removed; from ``GENERALISE`` on it is generalised (its initial stays). Terms need the
-evidence of ``SUPPORT`` different texts: in a single text every word occurs with the entity, which proves nothing.
+much as the entity itself and is removed; from ``GENERALISE`` on it is generalised (its initial stays). Every pair is
+judged, those of a single text too; as pairs of few texts in small corpora may be chance, the share is tempered by
+1 - N ** (-``EVIDENCE`` * texts), N being the number of documents.
 
 Everything runs on built-in functions. Documents without personal data cost one scan; term frequencies are counted
-over all documents but only for terms that have the support, with partial counts before the shuffle. The terms are
+over all documents but only for terms that stand near an entity, with partial counts before the shuffle. The terms are
 broadcast only while they are at most ``BROADCAST_TERMS``, else joined by shuffle.
 
 Defined results: a null text counts as empty (and stays null when sanitised); null ids are handled like others;
@@ -33,7 +34,9 @@ KINDS = ["email", "ip", "card", "phone", "remove", "generalise"]
 BASE = KINDS[:4]
 #: Words that stand alone: no part of an address, a number or a hyphenated token.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![\p{N}@_%+-])(?!\.[\p{L}\p{N}])"
-WINDOW, SUPPORT, REMOVE, GENERALISE = 100, 2, 0.9, 0.75
+WINDOW, REMOVE, GENERALISE = 100, 0.9, 0.75
+#: Exponent of the tempering; the larger, the sooner a single text is believed.
+EVIDENCE = 0.25
 BROADCAST_TERMS, BROADCAST_KEYS = 200_000, 1_000_000
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
@@ -98,13 +101,13 @@ def _occurrences(rows: DataFrame, id_col: str) -> DataFrame:
     return found.where(inside).select(id_col, "version", "entity", F.lower("x.value").alias("term"), (F.col("at") + F.col("x.start")).alias("start"), (F.col("at") + F.col("x.end")).alias("end"))
 
 
-def disclosures(docs: DataFrame, rows: DataFrame, occurrences: DataFrame, id_col: str, text_col: str, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """``(entity, term, share)``: pairs with the support whose PMI is at least ``generalise`` of the entity's information."""
+def disclosures(docs: DataFrame, rows: DataFrame, occurrences: DataFrame, id_col: str, text_col: str, generalise: float = GENERALISE) -> DataFrame:
+    """``(entity, term, share)``: pairs whose tempered PMI is at least ``generalise`` of the entity's information."""
     n = rows.count()
     # One row per document version and pair; identical rows of one id are one document.
     held = occurrences.groupBy("entity", "term", "version", id_col).agg(F.lit(1).alias("one"))
     pairs = held.groupBy("entity", "term", "version").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("n_ct"), F.count("*").alias("texts"))
-    pairs = table(pairs.where(F.col("texts") >= support).select("entity", "term", "n_ct"), "pairs")
+    pairs = table(pairs, "pairs")
     entities = rows.where(F.size("near") > 0).select(id_col, "version", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
     n_c = entities.groupBy("entity", "version", id_col).agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_c"))
     terms = table(pairs.select("term").distinct(), "terms")
@@ -115,14 +118,15 @@ def disclosures(docs: DataFrame, rows: DataFrame, occurrences: DataFrame, id_col
     joint = pairs.join(n_c, "entity").join(n_t, "term")
     pmi = F.log(F.col("n_ct") * total / (F.col("n_c") * F.greatest("n_t", "n_ct")))
     share = F.when(F.col("n_c") < total, pmi / F.log(total / F.col("n_c"))).otherwise(F.lit(0.0))
-    return joint.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    trust = 1 - F.pow(total, -EVIDENCE * F.col("texts"))
+    return joint.select("entity", "term", (share * trust).alias("share")).where(F.col("share") >= generalise)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """``(id, version, email, ip, card, phone, remove, generalise)`` for every row: arrays of spans (start, end)."""
     rows = table(scan(docs, id_col, text_col), "pii-rows")
     occurrences = _occurrences(rows, id_col)
-    risky = disclosures(docs, rows, occurrences, id_col, text_col, support, generalise)
+    risky = disclosures(docs, rows, occurrences, id_col, text_col, generalise)
     hits = occurrences.join(risky, ["entity", "term"]).groupBy(id_col, "version", "start", "end").agg(F.max("share").alias("share"))
     s = F.struct("start", "end")
     per_row = hits.groupBy(id_col, "version").agg(

@@ -82,6 +82,15 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[300] == f"{common} [TERM] writes [EMAIL] first" and clean[5] == rows[5][1] and clean[None] is None
 
 
+def test_terms_beside_an_entity_of_a_single_text(spark):
+    common = "these words stand everywhere around every text"
+    rows = [(i, f"{common} plain") for i in range(20_000)] + [(30_000, f"{common} Zanzibarite joe@example.org {common}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.find(df).where("size(remove) + size(generalise) > 0").collect()
+    assert [(r.doc_id, [rows[-1][1][s.start : s.end] for s in r.remove], r.generalise) for r in got] == [(30_000, ["Zanzibarite"], [])]
+    assert pii.sanitise(df).where("doc_id = 30000").first().text == f"{common} [TERM] [EMAIL] {common}"
+
+
 def test_sanitise_overlaps_repeats_and_extra_columns(spark):
     rows = [(1, "mail 1.2.3.4@ex.com +1 555 010 9999 x", "a")] * 3 + [(2, "", "b"), (None, "a@b.cc", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, email string")
