@@ -1,15 +1,15 @@
 """Personal data: base patterns, then information-theoretic sanitisation of what stands around them.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards (Luhn) and phone numbers. Each different value is a
-protected entity. Terms (words of four letters and more) within ``WINDOW`` code points of an entity may give it away:
-over the whole corpus, with documents as events, the pointwise mutual information PMI(entity; term) is set against the
+protected entity. Any term (word, number or identifier) of a text that holds an entity may give it away, wherever it
+stands in it: over the whole corpus, with documents as events, the pointwise mutual information PMI(entity; term) is set against the
 entity's own information IC(entity) = -log p(entity). A term whose PMI reaches ``REMOVE`` of the IC says nearly as
 much as the entity itself and is removed; from ``GENERALISE`` on it is generalised (its initial stays). Every pair is
 judged, those of a single text too; as pairs of few texts in small corpora may be chance, the share is tempered by
 1 - N ** (-``EVIDENCE`` * texts), N being the number of documents.
 
 Everything runs on built-in functions. Documents without personal data cost one scan; term frequencies are counted
-over all documents but only for terms that stand near an entity, with partial counts before the shuffle. The terms are
+over all documents but only for terms that stand in a text with an entity, with partial counts before the shuffle. The terms are
 broadcast only while they are at most ``BROADCAST_TERMS``, else joined by shuffle.
 
 Defined results: a null text counts as empty (and stays null when sanitised); null ids are handled like others;
@@ -32,9 +32,9 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone", "remove", "generalise"]
 BASE = KINDS[:4]
-#: Words that stand alone: no part of an address, a number or a hyphenated token.
-TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![\p{N}@_%+-])(?!\.[\p{L}\p{N}])"
-WINDOW, REMOVE, GENERALISE = 100, 0.9, 0.75
+#: Words of letters and digits, whole when joined by a mark (hyphenated names, identifiers).
+TERM = r"[\p{L}\p{N}\p{M}]++(?:[._'\u2019-][\p{L}\p{N}\p{M}]++)*+"
+REMOVE, GENERALISE = 0.9, 0.75
 #: Exponent of the tempering; the larger, the sooner a single text is believed.
 EVIDENCE = 0.25
 BROADCAST_TERMS, BROADCAST_KEYS = 200_000, 1_000_000
@@ -68,72 +68,84 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("phone", keep("phone", lambda v: F.length(_digits(v)).between(8, 15)))
 
 
-def _surroundings(kind: str, text: Column) -> Column:
-    """Both windows of every span of a kind: entity hash, offset of the window and its text."""
-    entity = lambda v: F.xxhash64(F.lit(kind), F.lower(v) if kind in ("email", "ip") else _digits(v))
+def _blanked(text: Column) -> Column:
+    """``text`` with every base span blanked; positions stay."""
+    spans = F.array_sort(F.concat(*(F.transform(F.col(k), lambda s: F.struct(s["start"], s["end"])) for k in BASE)))
 
-    def both(s: Column) -> Column:
-        lo = F.greatest(s["start"] - WINDOW, F.lit(0))
-        before = F.struct(entity(s["value"]).alias("entity"), lo.alias("at"), F.substring(text, lo + 1, s["start"] - lo).alias("w"), (lo > 0).alias("cut_left"), F.lit(False).alias("cut_right"))
-        after = F.struct(entity(s["value"]).alias("entity"), s["end"].alias("at"), F.substring(text, s["end"] + 1, F.lit(WINDOW)).alias("w"), F.lit(False).alias("cut_left"), F.lit(True).alias("cut_right"))
-        return F.array(before, after)
+    def step(acc: Column, s: Column) -> Column:
+        at = F.greatest(acc["to"], s["start"])
+        to = F.greatest(acc["to"], s["end"])
+        kept = F.substring(text, acc["to"] + 1, at - acc["to"])
+        return F.struct(to.alias("to"), F.concat(acc["out"], F.array(F.concat(kept, F.repeat(F.lit(" "), to - at)))).alias("out"))
 
-    return F.flatten(F.transform(F.col(kind), both))
+    seed = F.struct(F.lit(0).alias("to"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(spans, seed, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["to"] + 1, F.lit(2147483647))))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, version, email, ip, card, phone, near)``: spans without values, and the surroundings of the entities."""
+    """``(id, version, email, ip, card, phone, entities, rest)``: spans without values, the hashes of the entities and
+    the text without them; ``rest`` is null where there is no entity."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = base_spans(docs.select(F.col(id_col), F.xxhash64(text).alias("version"), text.alias("t")), "t")
-    near = F.concat(*(_surroundings(k, F.col("t")) for k in BASE))
-    return df.select(id_col, "version", *(F.transform(F.col(k), lambda s: F.struct(s["start"], s["end"])).alias(k) for k in BASE), near.alias("near"))
+
+    def hashes(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda s: F.xxhash64(F.lit(kind), F.lower(s["value"]) if kind in ("email", "ip") else _digits(s["value"])))
+
+    entities = F.array_distinct(F.concat(*(hashes(k) for k in BASE)))
+    rest = F.when(F.greatest(*(F.size(k) for k in BASE)) > 0, _blanked(F.col("t")))
+    return df.select(id_col, "version", *(F.transform(F.col(k), lambda s: F.struct(s["start"], s["end"])).alias(k) for k in BASE), entities.alias("entities"), rest.alias("rest"))
+
+
+def _words(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))).alias("term")
 
 
-def _occurrences(rows: DataFrame, id_col: str) -> DataFrame:
-    """``(id, version, entity, term, start, end)``: the terms in the surroundings.
+def disclosures(docs: DataFrame, rows: DataFrame, texts: DataFrame, text_col: str, generalise: float = GENERALISE) -> DataFrame:
+    """``(version, term, share)``: the terms of each text whose tempered PMI with one of its entities is at least
+    ``generalise`` of the entity's information, with their greatest share.
 
-    A letter run that touches the far, cut edge of a window may go on beyond it and is left out.
+    Entities that stand in the same texts have the same shares and are judged once, as a class.
     """
-    near = rows.where(F.size("near") > 0).select(id_col, "version", F.explode("near").alias("n"))
-    near = near.select(id_col, "version", "n.entity", "n.at", "n.w", "n.cut_left", "n.cut_right")
-    found = with_spans(near, "terms", "w", TERM).select("*", F.explode("terms").alias("x"))
-    inside = ~(F.col("cut_left") & (F.col("x.start") == 0)) & ~(F.col("cut_right") & (F.col("x.end") >= WINDOW))
-    return found.where(inside).select(id_col, "version", "entity", F.lower("x.value").alias("term"), (F.col("at") + F.col("x.start")).alias("start"), (F.col("at") + F.col("x.end")).alias("end"))
-
-
-def disclosures(docs: DataFrame, rows: DataFrame, occurrences: DataFrame, id_col: str, text_col: str, generalise: float = GENERALISE) -> DataFrame:
-    """``(entity, term, share)``: pairs whose tempered PMI is at least ``generalise`` of the entity's information."""
-    n = rows.count()
-    # One row per document version and pair; identical rows of one id are one document.
-    held = occurrences.groupBy("entity", "term", "version", id_col).agg(F.lit(1).alias("one"))
-    pairs = held.groupBy("entity", "term", "version").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("n_ct"), F.count("*").alias("texts"))
-    pairs = table(pairs, "pairs")
-    entities = rows.where(F.size("near") > 0).select(id_col, "version", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
-    n_c = entities.groupBy("entity", "version", id_col).agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    terms = table(pairs.select("term").distinct(), "terms")
-    wanted = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = F.lit(float(max(n, 2)))
-    joint = pairs.join(n_c, "entity").join(n_t, "term")
-    pmi = F.log(F.col("n_ct") * total / (F.col("n_c") * F.greatest("n_t", "n_ct")))
-    share = F.when(F.col("n_c") < total, pmi / F.log(total / F.col("n_c"))).otherwise(F.lit(0.0))
-    trust = 1 - F.pow(total, -EVIDENCE * F.col("texts"))
-    return joint.select("entity", "term", (share * trust).alias("share")).where(F.col("share") >= generalise)
+    n = float(max(rows.count(), 2))
+    held = texts.select("version", "copies", F.explode("entities").alias("entity"))
+    stats = held.groupBy("entity").agg(F.bit_xor("version").alias("a"), F.bit_xor(F.xxhash64("version")).alias("b"), F.sum("copies").alias("n_c"))
+    members = held.join(stats, "entity").select("version", "a", "b", "n_c").distinct().where(F.col("n_c") < n)
+    words = table(texts.select("version", "copies", _words(F.col("rest"))), "pii-words")
+    terms = table(words.select("term").distinct(), "terms")
+    every = docs.select(_words(F.col(text_col)))
+    if terms.count() <= BROADCAST_TERMS:
+        n_t = every.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    else:
+        n_t = every.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
+    # No pair of a term beyond this can reach the share, so that only rare terms meet the entities of their texts.
+    limit = lambda n_c: n * F.pow(n_c / n, F.lit(generalise)) * 1.000001
+    most = members.groupBy("version").agg(F.max("n_c").alias("most"))
+    rare = words.join(n_t, "term", "left").join(most, "version").where(F.coalesce("n_t", F.lit(0)) <= limit(F.col("most"))).drop("most")
+    pairs = table(rare.join(members, "version").where(F.coalesce("n_t", F.lit(0)) <= limit(F.col("n_c"))), "pairs")
+    judged = pairs.groupBy("a", "b", "n_c", "term").agg(F.sum("copies").alias("n_ct"), F.count("*").alias("texts"), F.max("n_t").alias("n_t"))
+    pmi = F.log(F.col("n_ct") * n / (F.col("n_c") * F.greatest("n_t", "n_ct")))
+    trust = 1 - F.pow(F.lit(n), -EVIDENCE * F.col("texts"))
+    risky = judged.select("a", "b", "n_c", "term", (pmi / F.log(n / F.col("n_c")) * trust).alias("share")).where(F.col("share") >= generalise)
+    return pairs.select("version", "a", "b", "n_c", "term").join(risky, ["a", "b", "n_c", "term"]).groupBy("version", "term").agg(F.max("share").alias("share"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """``(id, version, email, ip, card, phone, remove, generalise)`` for every row: arrays of spans (start, end)."""
     rows = table(scan(docs, id_col, text_col), "pii-rows")
-    occurrences = _occurrences(rows, id_col)
-    risky = disclosures(docs, rows, occurrences, id_col, text_col, generalise)
-    hits = occurrences.join(risky, ["entity", "term"]).groupBy(id_col, "version", "start", "end").agg(F.max("share").alias("share"))
-    s = F.struct("start", "end")
-    per_row = hits.groupBy(id_col, "version").agg(
-        F.array_sort(F.collect_list(F.when(F.col("share") >= remove, s))).alias("remove"), F.array_sort(F.collect_list(F.when(F.col("share") < remove, s))).alias("generalise")
-    ).select(F.col(id_col).alias("__q_id"), F.col("version").alias("__q_v"), "remove", "generalise")
+    some = rows.where(F.col("rest").isNotNull())
+    # One row per different text; its copies are the ids that hold it, repeated rows of an id being one document.
+    copies = some.select("version", id_col).distinct().groupBy("version").agg(F.count("*").alias("copies"))
+    texts = table(some.select("version", "entities", "rest").dropDuplicates(["version"]).join(copies, "version"), "pii-texts")
+    risky = table(disclosures(docs, rows, texts, text_col, generalise), "pii-risky")
+    dirty = texts.join(risky.select("version").distinct(), "version", "left_semi").select("version", "rest")
+    found = with_spans(dirty, "terms", "rest", TERM).select("version", F.explode("terms").alias("x"))
+    hits = found.select("version", F.lower("x.value").alias("term"), F.struct("x.start", "x.end").alias("s")).join(risky, ["version", "term"])
+    per_text = hits.groupBy("version").agg(
+        F.array_sort(F.collect_list(F.when(F.col("share") >= remove, F.col("s")))).alias("remove"), F.array_sort(F.collect_list(F.when(F.col("share") < remove, F.col("s")))).alias("generalise")
+    ).select(F.col("version").alias("__q_v"), "remove", "generalise")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    joined = rows.join(per_row, F.col(id_col).eqNullSafe(F.col("__q_id")) & (F.col("version") == F.col("__q_v")), "left")
+    joined = rows.join(per_text, F.col("version") == F.col("__q_v"), "left")
     return joined.select(id_col, "version", *BASE, F.coalesce("remove", none).alias("remove"), F.coalesce("generalise", none).alias("generalise"))
 
 

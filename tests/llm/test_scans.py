@@ -91,6 +91,14 @@ def test_terms_beside_an_entity_of_a_single_text(spark):
     assert pii.sanitise(df).where("doc_id = 30000").first().text == f"{common} [TERM] [EMAIL] {common}"
 
 
+def test_terms_far_from_their_entity(spark):
+    common = "these words stand everywhere around every text "
+    rows = [(i, common + "plain") for i in range(20_000)] + [(30_000, f"Zanzibarite Bo and X-77 {common * 10}joe@example.org {common * 10} zanzibarite, bo +49 30 123456 x-77 plain")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = pii.sanitise(df).where("doc_id = 30000").first().text
+    assert text == f"[TERM] [TERM] [TERM] [TERM] {common * 10}[EMAIL] {common * 10} [TERM], [TERM] [PHONE] [TERM] plain"
+
+
 def test_sanitise_overlaps_repeats_and_extra_columns(spark):
     rows = [(1, "mail 1.2.3.4@ex.com +1 555 010 9999 x", "a")] * 3 + [(2, "", "b"), (None, "a@b.cc", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, email string")
