@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TRACKING = ("fbclid", "gclid", "yclid", "_ga", "_gl")
+#: Words that a challenge page shows.
+CHALLENGES = (
+    "verify you are human", "checking your browser", "just a moment", "attention required", "access denied", "security check", "robot check",
+    "подтвердите, что вы не робот", "подтвердите, что вы человек", "проверка браузера", "проверка безопасности", "доступ ограничен",
+)
+_PLAIN = ("captcha", "are you a robot")
+_HINTS = ("captcha", "капча", "challenge", "turnstile", "ddos-guard", "are you a robot")
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
 
@@ -73,13 +80,19 @@ def safe_name(url: Column) -> Column:
 
 
 def response_class(status: Column, body: Column) -> Column:
-    """One of eight classes of an HTTP answer."""
-    head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 200_000))
-    blocked = head.rlike("captcha|cf-challenge|attention required|are you a robot|verify you are human")
+    """One of eight classes of an HTTP answer; challenges are told by title and DOM, whatever the status.
+
+    A sitemap is never a challenge. Only pages with a marker in their first 200,000 characters go to Python.
+    """
+    whole = F.coalesce(body, F.lit(""))
+    head = F.substring(whole, 1, 200_000)
+    opening = F.when(head.rlike("<(?:[A-Za-z0-9_.-]++:)?(?:urlset|sitemapindex)"), F.regexp_replace(head, r"\G(?:[\s\x{feff}]++|<\?xml[^>]*+>|(?s:<!--.*?-->))", ""))
+    sitemap = F.coalesce(opening.rlike(r"^<(?:[A-Za-z0-9_.-]++:)?(?:urlset|sitemapindex)[\s>]"), F.lit(False))
+    asked = F.when(~sitemap & F.lower(head).rlike("|".join((*_HINTS, *CHALLENGES))), head)
     return (
-        F.when(status.isin(404, 410), "not_found").when(status == 429, "rate_limited").when(blocked & (status.isin(200, 401, 403, 503)), "anti_bot")
-        .when(status >= 500, "server_error").when((status >= 300) & (status < 400), "redirect").when((status != 200) | status.isNull(), "http_error")
-        .when(F.trim(head, F.lit(" \t\r\n")) == "", "empty").otherwise("valid")
+        F.when(is_challenge(asked), "anti_bot").when(status.isin(404, 410), "not_found").when(status == 429, "rate_limited")
+        .when(status.between(500, 599) | (sitemap & (status >= 500)), "server_error").when(status.between(300, 399) & ~sitemap, "redirect").when(~status.between(200, 299) | status.isNull(), "http_error")
+        .when(F.trim(whole, F.lit(" \t\r\n")) == "", "empty").otherwise("valid")
     )
 
 
@@ -163,6 +176,75 @@ class _Page(HTMLParser):
             self._put(data)
 
 
+class _Challenge(HTMLParser):
+    """What tells an interstitial: its forms, its widgets, the visible text and whether an article has text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.form = self.widget = self.article = False
+        self.text: list[str] = []
+        self.stack: list[tuple[str, bool, bool, bool, frozenset]] = []  # tag, unseen, no text, in an article's body, marks for descendants
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        own, classes = a.get("id", ""), set(a.get("class", "").split())
+        _, unseen, silent, inside, marks = self.stack[-1] if self.stack else ("", False, False, False, frozenset())
+        self.form |= own in ("challenge-form", "cf-challenge-running", "px-captcha") or (tag == "form" and "/cdn-cgi/challenge-platform/" in a.get("action", ""))
+        unseen |= tag in ("script", "style", "noscript", "template")
+        silent |= tag in ("script", "style", "template")
+        frame = tag == "iframe" and ("recaptcha" in a.get("src", "") or "hcaptcha" in a.get("src", ""))
+        self.widget |= not unseen and (frame or bool(classes & {"g-recaptcha", "h-captcha", "cf-turnstile"}))
+        if tag in _VOID:
+            return
+        column = "content-row__section" in classes or ("content-row__center--lg" in classes and "js-comment-section" not in classes)
+        inside |= (
+            own == "article-body" or (tag == "article" and own == "material_content")
+            or (tag == "div" and (bool(classes & {"article-content", "content-text", "article_body_content"}) or "material-content_" in a.get("class", "") or (own.startswith("publication-") and "prose" in classes)))
+            or ("h-entry" in marks and "e-content" in classes) or ("gallery-body" in marks and "gallery-text" in classes)
+            or ("news-details" in marks and tag == "div" and "content-row__content" in classes) or ("reviews-details" in marks and tag == "div" and column)
+        )
+        if tag == "article":
+            marks |= classes & {"h-entry", "news-details", "reviews-details"}
+        if own == "gallery-body":
+            marks |= {own}
+        self.stack.append((tag, unseen, silent, inside, marks))
+
+    def handle_endtag(self, tag):
+        if any(t[0] == tag for t in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        _, unseen, silent, inside, _ = self.stack[-1] if self.stack else ("", False, False, False, None)
+        if not unseen:
+            self.text.append(data)
+        self.article |= inside and not silent and bool(data.strip())
+
+
+def challenge(page: str) -> bool:
+    """Is the page an interstitial? A marker in a story or a script is no evidence.
+
+    In a short page without an article, visible words of ``_PLAIN`` count besides those of ``CHALLENGES``.
+    """
+    title = re.search(r"<title[^>]*>(.*?)</title>", page.casefold(), re.S)
+    title = " ".join(title[1].split()) if title else ""
+    if any(m in title for m in CHALLENGES) or title.strip(" .!:") in ("captcha", "капча", "ddos-guard"):
+        return True
+    dom = _Challenge()
+    dom.feed(page)
+    dom.close()
+    if dom.form or dom.article:
+        return dom.form
+    visible = " ".join(" ".join(dom.text).casefold().split())
+    return dom.widget or (len(visible) < 3000 and any(m in visible for m in (*CHALLENGES, *_PLAIN)))
+
+
+@F.pandas_udf(T.BooleanType())
+def is_challenge(pages: pd.Series) -> pd.Series:
+    """``challenge`` of a column; false for null."""
+    return pages.map(lambda p: p is not None and challenge(p)).astype(bool)
+
+
 def tidy(text: str) -> str:
     """The same rule as ``functions.text.clean_text``, entities resolved."""
     t = re.sub("\r\n?", "\n", _html.unescape(text))

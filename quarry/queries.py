@@ -220,6 +220,7 @@ def url_policy(spark, sf):
   FROM (SELECT page_id, html, [200, 200, 404, 429, 503, 301, 403][page_id % 7 + 1] AS status FROM pages)""")
 def response_classes(spark, sf):
     """Answers of several statuses, made from the page's id."""
+    ship(spark)
     status = F.get(F.array(*map(F.lit, (200, 200, 404, 429, 503, 301, 403))), (F.col("page_id") % 7).cast("int"))
     return read(spark, sf, "pages").withColumn("status", status).select("page_id", "status", web.response_class(F.col("status"), F.col("html")).alias("class"))
 

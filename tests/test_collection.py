@@ -33,6 +33,17 @@ def test_listing_category_and_names(spark):
     assert values(spark, [(urls[5],)], "u string", web.safe_name(F.col("u")))[0].startswith("reviews_z-")
 
 
+def test_challenges_by_title_and_dom(spark):
+    story = "<div class='article-content'><p>How a captcha works: access denied</div>"
+    urls = "<?xml version='1.0'?><!-- captcha --> <urlset><url><loc>http://a.b/captcha</loc></url></urlset>"
+    cases = [
+        (200, story, "valid"), (200, "<script>var captcha = 1</script><p>hi", "valid"), (200, urls, "valid"), (503, urls, "server_error"), (206, "<p>hi", "valid"), (204, "", "empty"),
+        (404, "<title>Just a moment...</title>", "anti_bot"), (429, "<form id='challenge-form'></form>" + story, "anti_bot"), (500, "<div class='h-captcha'></div>", "anti_bot"), (403, "<p>Access denied", "anti_bot"),
+        (403, "<p>Access denied" + " word" * 700, "http_error"),
+    ]
+    assert values(spark, [c[:2] for c in cases], "s int, b string", web.response_class(F.col("s"), F.col("b"))) == [c[2] for c in cases]
+
+
 def test_response_classes_and_retry(spark):
     cases = [(200, "<p>hi", "valid"), (200, " \n", "empty"), (200, "please solve the CAPTCHA", "anti_bot"), (404, "", "not_found"), (410, "", "not_found"), (429, "", "rate_limited"), (503, "", "server_error"), (302, "", "redirect"), (401, "", "http_error"), (None, None, "http_error")]
     assert values(spark, [c[:2] for c in cases], "s int, b string", web.response_class(F.col("s"), F.col("b"))) == [c[2] for c in cases]
