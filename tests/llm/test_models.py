@@ -112,6 +112,15 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean(right[1]) > 0.98 and np.mean(right[0]) > 0.9
 
 
+def test_quality_keeps_both_classes_of_repeated_ids(spark):
+    ids = spark.range(100).where(~quality.held_out("id")).orderBy("id").limit(8).collect()
+    texts = [(r.id, f"text {'words ' * (i + 1)}{r.id}") for i, r in enumerate(ids)]
+    docs = spark.createDataFrame(texts + texts[:1] * 100, "doc_id long, text string")
+    labels = spark.createDataFrame([(r.id, i % 2) for i, r in enumerate(ids)] + [(ids[0].id, 0)] * 100, "doc_id long, quality int")
+    model, plain = quality.train(docs, labels, sample=8), quality.train(docs.distinct(), labels.distinct(), sample=8)
+    assert model is not None and (model.centre == plain.centre).all() and model.offset == plain.offset
+
+
 def test_quality_edge_rows(spark):
     docs = spark.createDataFrame([(i, f"plain words number {i} in a row of text", 0.5) for i in range(40)] + [(100 + i, "BUY!!! " * (9 + i), 0.5) for i in range(40)] + [(None, None, None), (7, "", None), (200, "long " * 200_000, None)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)] + [(0, None), (None, 1), (3, 7)], "doc_id long, quality int")
