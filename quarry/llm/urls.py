@@ -4,7 +4,7 @@ Rules are (verdict, host, path); one fits a URL whose host is the rule's or a su
 with the rule's; the longest fitting rule (host and path together) decides. Where none fits, two smoothed
 variable-order Markov models decide, one of accepted and one of rejected URLs: a symbol's probability backs off along
 its longest known contexts (Witten-Bell), up to ``ORDER`` symbols, and the difference of the log-likelihoods, divided
-by the length, is held against a threshold calibrated on the training URLs.
+by the length, is held against a threshold calibrated on the training URLs and clamped to at most 0.
 
 The models are fitted on at most ``SAMPLE`` URLs of each kind that the rules decide (those with the smallest hash, so
 that the sample is stable) together with ``SEEDS``, a few host words of kinds that nobody wants. Digits count as one
