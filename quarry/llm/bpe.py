@@ -2,8 +2,10 @@
 
 The tiktoken library does the merging. Long texts are cut before a single blank that stands between two characters
 that are no white space: no match of the split pattern holds such a blank anywhere but at its start, and what follows
-does not depend on what came before, so that the pieces' ids joined are the ids of the whole. Decoding joins the raw
-bytes of the ids, which is exact for any ids, whether or not they form UTF-8.
+does not depend on what came before, so that the pieces' ids joined are the ids of the whole. Long runs of white space
+never reach the pattern, whose look-ahead would need a stack as deep as the run: a run is one match, less its last
+character if something follows, and is merged as one piece. Decoding joins the raw bytes of the ids, which is exact
+for any ids, whether or not they form UTF-8.
 
 Defined results: a null or empty text has no ids (an empty list); repeated rows and repeated or null ids are encoded
 row by row; an empty table gives an empty result; columns other than the id and the text are ignored. Special tokens'
@@ -24,7 +26,11 @@ from .common import arrow_map, field, texts
 
 #: Code points from which a text is cut into pieces of about that length.
 PIECE = 1 << 16
+#: White space characters from which a run is encoded outside the split pattern.
+RUN = 1 << 12
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: What the split pattern takes for white space (Python's ``\s`` holds four control characters more).
+_RUNS = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{RUN},}}")
 _CODECS: dict[tuple[str, str], "Codec"] = {}
 
 
@@ -72,9 +78,19 @@ class Codec:
         self.digits = [b"%d " % i for i in range(top)]
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= PIECE:
+        if len(text) < RUN:
             return self.encoding.encode_ordinary(text)
         ids: list[int] = []
+        at = 0
+        for run in _RUNS.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self._encode_pieces(text[at : run.start()])
+            ids += self.encoding._core_bpe.encode_single_piece(text[run.start() : end].encode())
+            at = end
+        return ids + self._encode_pieces(text[at:])
+
+    def _encode_pieces(self, text: str) -> list[int]:
+        ids: list[int] = []
         for piece in pieces(text):
             ids += self.encoding.encode_ordinary(piece)
         return ids

@@ -40,6 +40,35 @@ def test_bpe_pieces_do_not_change_ids():
     assert bpe.pieces("y" * 900, 10) == ["y" * 900]
 
 
+def plain_ids(c, text):
+    """The split pattern by another engine, and the library's merges match by match."""
+    import regex
+
+    return [i for m in regex.finditer(bpe.split_pattern(), text) for i in c.encoding._core_bpe.encode_single_piece(m[0].encode())]
+
+
+def test_bpe_white_space_runs_of_any_length():
+    c = bpe.codec(bpe.rank_file(), bpe.split_pattern())
+    for n in (bpe.RUN - 1, bpe.RUN, bpe.RUN + 1, 70_000):
+        for gap in (" ", "\t", "\n", "\u3000", "\r\n", " \n", "\n ", "\x1c", " \x1c"):
+            run = (gap * n)[:n]
+            for text in (run, run + "x", "x" + run, f"a b{run}word{run}don't", f"{run}!{run} 7", f"x {run[:3]}y{run}"):
+                assert c.encode(text) == plain_ids(c, text), (n, gap, text[:9])
+
+
+@pytest.mark.parametrize("n", [10**6, 10**7])
+def test_bpe_very_long_runs(spark, n):
+    c = bpe.codec(bpe.rank_file(), bpe.split_pattern())
+    texts = [" " * n, " " * n + "x", "x" + "\n" * n, "a" + "\t" * n + " b"]
+    texts += ["x" * n, "9" * n, "!" * n] if n == 10**6 else []
+    want = {i: [t for p in parts for t in c.encoding._core_bpe.encode_single_piece(p)] for i, parts in enumerate([[b" " * n], [b" " * (n - 1), b" x"], [b"x", b"\n" * n], [b"a", b"\t" * n, b" b"]])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.round_trip(docs).collect():
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+        if r.doc_id in want:
+            assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, want[r.doc_id])).encode()).hexdigest()
+
+
 def test_bpe_decode_gives_raw_bytes(spark, odd):
     got = sorted(((r.doc_id, bytes(r.bytes)) for r in bpe.decode(bpe.encode(odd)).collect()), key=str)
     assert got == sorted(((i, (t or "").encode()) for i, t in ODD), key=str)
