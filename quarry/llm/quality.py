@@ -10,8 +10,8 @@ Fit: on at most ``SAMPLE`` labelled rows, those with the smallest hash of their
 every run; rows held out by ``crc32(id) mod 5 = 0`` are never learnt from. Scoring covers every whole text.
 
 Defined results: a null text scores as the empty one; null ids are scored (held_out false) and never learnt from;
-repeated rows are scored row by row and learnt from once, different labels of an id are all learnt from; an empty table gives an empty
-result; without two labelled rows of each class every score is 0.5; columns other than id and text are ignored.
+repeated rows are scored row by row; an id is learnt from once for each of its labels, however many rows it has; an
+empty table gives an empty result; without two labelled rows of each class every score is 0.5; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -138,14 +138,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """Fit on the ``sample`` labelled rows, not held out, whose hashed ids are smallest.
 
     The ids are chosen from the labels alone, and only their rows' texts are turned into statistics, on the executors:
-    what reaches the driver is one row of numbers for each different id, text and label, at most ``2 * sample`` of each
-    class (more only where ids have several texts; then those with the smallest hash).
+    what reaches the driver is one row of numbers for each chosen id and label. Of an id with several texts, the one
+    with the smallest hash is learnt from.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).distinct()
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", "_y", F.col(text_col).alias("_t")).distinct()
-    halves = [rows.where(F.col("_y") == y).orderBy(F.xxhash64("_id", "_t"), "_id", "_t").limit(2 * sample) for y in (0, 1)]
-    rows = halves[0].unionByName(halves[1]).select("_y", "_t")
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))
+    rows = rows.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))).alias("r")).select("_y", "r.t")
     schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
     got = arrow_map(rows, lambda b: [b.column(0), [statistics(t) for t in texts(b.column(1))]], schema).orderBy("y", "x").toPandas()
     if not len(got):

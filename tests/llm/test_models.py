@@ -112,13 +112,60 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean(right[1]) > 0.98 and np.mean(right[0]) > 0.9
 
 
-def test_quality_keeps_both_classes_of_repeated_ids(spark):
-    ids = spark.range(100).where(~quality.held_out("id")).orderBy("id").limit(8).collect()
+def test_quality_learns_from_an_id_once_a_label(spark):
+    ids = spark.range(100).where(~quality.held_out("id")).orderBy("id").limit(16).collect()
     texts = [(r.id, f"text {'words ' * (i + 1)}{r.id}") for i, r in enumerate(ids)]
-    docs = spark.createDataFrame(texts + texts[:1] * 100, "doc_id long, text string")
+    docs = spark.createDataFrame(texts * 20 + texts[:1] * 100, "doc_id long, text string")
     labels = spark.createDataFrame([(r.id, i % 2) for i, r in enumerate(ids)] + [(ids[0].id, 0)] * 100, "doc_id long, quality int")
-    model, plain = quality.train(docs, labels, sample=8), quality.train(docs.distinct(), labels.distinct(), sample=8)
-    assert model is not None and (model.centre == plain.centre).all() and model.offset == plain.offset
+    plain = quality.train(docs.distinct(), labels.distinct())
+    for sample in (16, 400):
+        model = quality.train(docs, labels, sample=sample)
+        assert model is not None and np.allclose(model.centre, plain.centre) and abs(model.offset - plain.offset) < 1e-9
+    several = docs.unionByName(docs.select("doc_id", F.concat(F.col("text"), F.lit(" more")).alias("text")))
+    assert quality.train(several, labels, sample=16) is not None
+
+
+def plain_scores(x, y, at):
+    """A quadratic discriminant by densities and plain inverses; the tempering fitted by gradient steps of its own."""
+    centre, scale = x.mean(0), x.std(0) + 1e-6
+    fix = lambda v: np.clip((v - centre) / scale, -12, 12)
+    z = fix(x)
+    n = len(z[0])
+    own = {k: sum(np.outer(r, r) for r in z[y == k] - z[y == k].mean(0)) / (y == k).sum() for k in (0, 1)}
+    pooled = sum((y == k).mean() * own[k] for k in (0, 1))
+    log_density = []
+    for k in (0, 1):
+        c = 0.8 * own[k] + 0.2 * pooled
+        c = 0.98 * c + 0.02 * np.trace(c) / n * np.eye(n) + 1e-9 * np.eye(n)
+        inverse, size = np.linalg.inv(c), np.linalg.slogdet(c)[1]
+        m = z[y == k].mean(0)
+        log_density.append(lambda v, i=inverse, s=size, m=m, k=k: np.array([-0.5 * (r - m) @ i @ (r - m) - 0.5 * s + np.log((y == k).mean()) for r in fix(v)]))
+    margin = lambda v: log_density[1](v) - log_density[0](v)
+    m = np.clip(margin(x), -200, 200)
+
+    def loss(a, b):
+        return np.logaddexp(0, -(2 * y - 1) * (a * m + b)).sum() + 0.5e-2 * (a * a + b * b)
+
+    return margin(at), loss
+
+
+def test_quality_against_plain_discriminant(spark):
+    rng = random.Random(8)
+    words = ["river", "Mountain", "and", "the", "of", "blue", "12", "house.", "(see)", "walks"]
+    good = [" ".join(rng.choice(words) for _ in range(rng.randrange(20, 90))) for _ in range(60)]
+    bad = ["\n".join([rng.choice(["BUY", "now!!", "$$$", "click", "http"]) * rng.randrange(1, 4)] * rng.randrange(3, 40)) + rng.choice(["", " and the river"]) for _ in range(60)]
+    mixed = [a[:30] + b[:60] for a, b in zip(good, bad)]
+    texts = [*good, *bad, *mixed, "", "one"]
+    x = np.array([quality.statistics(t) for t in texts])
+    y = np.array([1] * 60 + [0] * 60 + [rng.randrange(2) for _ in mixed])
+    model = quality.fit(x[: len(y)], y)
+    margins, loss = plain_scores(x[: len(y)], y, x)
+    assert np.allclose(model.margins(x), margins, rtol=1e-6, atol=1e-6)
+    here = loss(model.temper, model.bias)
+    assert all(here <= loss(model.temper * (1 + a), model.bias + b) + 1e-6 for a in (-0.02, 0, 0.02) for b in (-0.02, 0, 0.02))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.score for r in quality.score(docs, model).orderBy("doc_id").collect()]
+    assert np.allclose(got, 1 / (1 + np.exp(-np.clip(model.temper * margins + model.bias, -700, 700))), atol=1e-6)
 
 
 def test_quality_edge_rows(spark):
