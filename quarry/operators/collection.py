@@ -123,18 +123,22 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(best, ["host", "path"], "left").withColumn("allowed", F.coalesce("b.allow", F.lit(True))).drop("b")
 
 
-def expand_sitemaps(roots: DataFrame, links: DataFrame, max_depth: int = 20) -> DataFrame:
+def expand_sitemaps(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``(url, depth)`` reachable from ``roots(url)`` over ``links(parent, url)``, each at its smallest depth.
 
-    Every level is checkpointed into the folder that the executors share.
+    Maps seen before end a path, so that loops are harmless and any depth is reached. Every level is checkpointed into
+    the folder that the executors share.
     """
     shared_dir(roots.sparkSession)
     seen = front = roots.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    for depth in range(1, max_depth + 1):
-        front = links.join(front.select(F.col("url").alias("parent")), "parent").select("url").distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if front.isEmpty():
-            break
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        below = links.join(front.select(F.col("url").alias("parent")), "parent").select("url").distinct()
+        front = below.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         seen = seen.unionByName(front)
+        if depth % 20 == 0:
+            seen = seen.checkpoint()
     return seen
 
 

@@ -135,13 +135,13 @@ def corpus_query(spark, sf):
     "s2_indexable",
     """SELECT source AS publication, count(*) AS documents, count(*) FILTER (WHERE kind = 'unknown') AS unknown_kind FROM (
   SELECT source, CASE WHEN lower(lang) IN ('news', 'article', 'review', 'blog') THEN lower(lang) ELSE 'unknown' END AS kind FROM documents
-  WHERE doc_id % 7 <> 0 AND source <> 'src3' AND trim(coalesce(text, '')) <> '') GROUP BY ALL""",
+  WHERE lang <> 'es' AND source <> 'src3' AND trim(coalesce(text, '')) <> '') GROUP BY ALL""",
 )
 def indexable_query(spark, sf):
-    """Indexable documents by source; here the exclusion flag and the parse error are made from id and source."""
+    """Indexable documents by source; here the exclusion flag and the parse error are made from language and source."""
     from .sources.corpus import indexable, publication_type
 
-    docs = read(spark, sf, "documents").withColumn("indexable", F.col("doc_id") % 7 != 0).withColumn("parse_error", F.when(F.col("source") == "src3", "broken")).withColumn("title", F.lit(None).cast("string"))
+    docs = read(spark, sf, "documents").withColumn("indexable", F.col("lang") != "es").withColumn("parse_error", F.when(F.col("source") == "src3", "broken")).withColumn("title", F.lit(None).cast("string"))
     kind = publication_type(F.col("lang"))
     return indexable(docs).groupBy(F.col("source").alias("publication")).agg(F.count("*").alias("documents"), F.count_if(kind == "unknown").alias("unknown_kind"))
 
@@ -574,17 +574,18 @@ def batch_queries(spark, sf):
 
 
 def _inventories(spark, sf) -> list[DataFrame]:
+    """Two overlapping inventories that together list all pages."""
     p = read(spark, sf, "pages")
     url = web.canonical_url(F.col("url"))
     host = web.host(F.col("url"))
-    a = p.where("page_id % 2 = 0").select(host.alias("source"), F.lit("news").alias("category"), url.alias("url"))
-    b = p.where("page_id % 3 = 0").select(host.alias("source"), F.lit("article").alias("category"), url.alias("url"))
+    a = p.where("page_id % 3 <> 0").select(host.alias("source"), F.lit("news").alias("category"), url.alias("url"))
+    b = p.where("page_id % 2 = 0 or page_id % 3 = 0").select(host.alias("source"), F.lit("article").alias("category"), url.alias("url"))
     return [a, b]
 
 
 _CANON = QUERIES["f4_canonical_urls"][1]
 _INVENTORY = f"""canon AS ({_CANON}), inv AS (SELECT page_id, canonical AS url, lower({_URLS.format(2)}) AS source FROM canon JOIN (SELECT page_id, url FROM pages) USING (page_id)),
-  every AS (SELECT source, 'news' AS category, url, 0 AS origin FROM inv WHERE page_id % 2 = 0 UNION ALL SELECT source, 'article', url, 1 FROM inv WHERE page_id % 3 = 0),
+  every AS (SELECT source, 'news' AS category, url, 0 AS origin FROM inv WHERE page_id % 3 <> 0 UNION ALL SELECT source, 'article', url, 1 FROM inv WHERE page_id % 2 = 0 OR page_id % 3 = 0),
   merged AS (SELECT source, category, url, origin FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY origin, source, category) AS n FROM every) WHERE n = 1)"""
 
 
