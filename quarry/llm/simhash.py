@@ -5,23 +5,27 @@ joined by one blank, repeats included (fewer words: the whole sequence); a bit i
 XXH64 values (seed 42) have it. No word: fingerprint zero, an ordinary fingerprint.
 
 Search: the fingerprint's 32 segments of two bits are mapped to their bit counts, a point with coordinates 0, 1, 2.
-Its Manhattan distance to another point is at most the Hamming distance of the fingerprints, hence a lower bound. Two
-points within ``max_bits`` agree in at least ``groups - max_bits`` of ``groups`` disjoint groups of coordinates; for
-every choice of that many groups the points fall into the cells of a unit grid over those coordinates, and pairs in a
-cell are candidates. All pairs within ``max_bits`` meet in a cell, so nothing is lost; candidates pass the Manhattan
-bound, then the exact Hamming distance. The counts are kept in unary within one BIGINT, so that both distances are
-``bit_count(xor)`` and all of this stays in generated JVM code. ``groups`` is chosen from the number of different
-fingerprints: more groups make smaller cells for larger inputs, and every choice gives the same links.
-
-Copies: only different fingerprints are joined, one row each with its smallest id. Cells with more than ``HOT_CELL``
-points are split again by a second grid over the remaining coordinates, so that no cell is joined all against all.
-Components come from distributed star contraction; nothing but counts reaches the driver.
+Its Manhattan distance to another point is at most the Hamming distance of the fingerprints, hence a lower bound. The
+coordinates fall into three groups; points within four bits are within two steps of each other over some two of the
+groups. For every two groups there is a grid of unit cells over their coordinates, and a point is put into its own
+cell and into all neighbouring ones (a step along one coordinate): two points within two steps meet in a cell, so no
+pair is lost. Pairs in a cell pass the Manhattan bound over all coordinates, then the exact Hamming distance. The
+counts are kept in unary within one BIGINT, so that both distances are ``bit_count(xor)`` and all of this stays in
+generated JVM code. A point has about 99 cells of 2 ** 32 (independent bits), at every size.
+
+Copies: only different fingerprints are joined, one row each with its smallest id. A cell with more than ``HOT_CELL``
+points is divided by the fingerprints' bits (any four of eight groups equal, which pairs within four bits have in
+common), so that even points that are all equal are not held against each other; what is still too large then is cut
+into blocks of that size, whose pairs are tasks of their own. Components come from distributed star contraction;
+nothing but counts reaches the driver.
 
 Near copies by similarity: at a Jaccard similarity of 0.8 two whole-text fingerprints differ in about ten bits, more
 than a grid can search. ``near_copies`` therefore fingerprints ``SAMPLES`` min-wise samples of ``SAMPLE_SIZE``
-shingles each (the majority bits of the sampled shingles' hashes); two texts of similarity s agree in such a
-fingerprint with probability about ``s ** SAMPLE_SIZE``, so at 0.8 a pair is missed with a probability of 0.0002.
-Candidates are verified by the exact Jaccard similarity of their shingle sets.
+shingles each (the majority bits of the sampled shingles' hashes) and searches for equal ones, which is min-wise
+hashing in bands rather than the grid; two texts of similarity s agree in such a fingerprint with probability about
+``s ** SAMPLE_SIZE``, so at 0.8 a pair is missed with a probability of 0.00003. In a cell of more than ``HOT_CELL``
+sets pairs have to agree in a second sample as well (missed: 0.0004). Candidates are verified by the exact Jaccard
+similarity of their shingle sets.
 
 Defined results: a null text counts as empty; rows with a null id are fingerprinted, linked and returned, but never
 name a component, unless the whole component has null ids, whose component is null; repeated rows give repeated
@@ -42,13 +46,11 @@ from .common import arrow_map, connected_components, field, hex_of, table, utf8
 
 MAX_BITS = 4
 #: Min-wise samples per text and shingles in each.
-SAMPLES, SAMPLE_SIZE = 16, 4
+SAMPLES, SAMPLE_SIZE = 20, 4
 #: Keys up to which a side is broadcast after counting it; beyond that, joins shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Points in a cell from which the cell is split by the second grid.
+#: Points that a cell may hold before it is divided, and so the largest block of pairs that one key makes.
 HOT_CELL = 2000
-#: Largest number of different fingerprints for each number of groups.
-GROUPS = ((50_000_000, 7), (1_000_000_000, 8), (1 << 62, 9))
 _LOW = 0x5555555555555555
 
 
@@ -99,47 +101,86 @@ def segment_counts(fp: Column) -> Column:
     return low.bitwiseOR(F.shiftleft(both, 1))
 
 
-def _masks(segments: list[int], groups: int, equal: int) -> list[int]:
-    """For each choice of ``equal`` of the groups, the bits of their segments."""
-    parts = [sum(3 << (2 * s) for s in segments[k::groups]) for k in range(groups)]
-    return [sum(c) for c in combinations(parts, equal)]
+def _grids(max_bits: int) -> tuple[int, int]:
+    """``(groups, chosen)``: points within ``max_bits`` are within two steps over some ``chosen`` of the groups."""
+    if max_bits <= 2:
+        return 1, 1
+    if max_bits <= 4:
+        return 3, 2
+    return -(-(max_bits + 1) // 3), 1
 
 
-def _cells(points: DataFrame, masks: list[int], key: str, tag: str) -> DataFrame:
-    cells = F.array(*(F.struct(F.lit(j).alias(tag), F.col("point").bitwiseAND(F.lit(_signed(m))).alias(key)) for j, m in enumerate(masks)))
-    return points.withColumn("cell", F.explode(cells)).select(*points.columns, F.col(f"cell.{tag}").alias(tag), F.col(f"cell.{key}").alias(key))
+def _masks(bits: int, groups: int, chosen: int, each: int) -> list[int]:
+    """The bits of every choice of ``chosen`` of the groups; fields of ``bits`` bits are dealt to the groups in turn."""
+    field_bits = (1 << bits) - 1
+    parts = [sum(field_bits << (bits * f) for f in range(each)[k::groups]) for k in range(groups)]
+    return [sum(c) for c in combinations(parts, chosen)]
+
+
+def _cells(classes: DataFrame, max_bits: int) -> DataFrame:
+    """``(fp, key)``: every cell that a fingerprint's point is put into."""
+    groups, chosen = _grids(max_bits)
+    rows = []
+    for mask in _masks(2, groups, chosen, 32):
+        # Segments outside the mask read 10, which no count is: grids over different groups have no key in common.
+        mark = sum(2 << (2 * f) for f in range(32) if not mask >> (2 * f) & 1)
+        rows += [(mask, mark, 0)] + [(mask, mark, 1 << k) for k in range(64) if mask >> k & 1]
+    steps = F.array(*(F.struct(*(F.lit(_signed(x)).alias(n) for x, n in zip(r, ("mask", "mark", "step")))) for r in rows))
+    cell = segment_counts(F.col("fp")).bitwiseAND(F.col("s.mask")).bitwiseXOR(F.col("s.step"))
+    real = F.shiftrightunsigned("cell", 1).bitwiseAND(F.bitwise_not("cell")).bitwiseAND(F.lit(_LOW)) == 0
+    return classes.select("fp", F.explode(steps).alias("s")).select("fp", cell.alias("cell"), "s.mark").where(real).select("fp", F.col("cell").bitwiseOR(F.col("mark")).alias("key"))
 
 
 def _pairs(cells: DataFrame, on: list[str], max_bits: int) -> DataFrame:
     a, b = cells.alias("a"), cells.alias("b")
-    same = F.col("a.fp") < F.col("b.fp")
+    return a.join(b, _close(on, max_bits)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+
+
+def _close(on: list[str], max_bits: int) -> Column:
+    near = F.col("a.fp") < F.col("b.fp")
     for c in on:
-        same &= F.col(f"a.{c}") == F.col(f"b.{c}")
-    bound = F.bit_count(F.col("a.point").bitwiseXOR(F.col("b.point"))) <= max_bits
-    exact = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
-    return a.join(b, same & bound & exact).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+        near &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    bound = F.bit_count(segment_counts(F.col("a.fp")).bitwiseXOR(segment_counts(F.col("b.fp")))) <= max_bits
+    return near & bound & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits)
+
+
+def in_blocks(rows: DataFrame, sizes: DataFrame, on: list[str], item: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join of large cells, cut into pairs of blocks of about ``most`` rows: columns ``on`` and ``block``.
+
+    ``sizes`` has the cells' ``on`` and ``n``. The left side's rows go to the block pairs of their row, the right
+    side's to those of their column, so that every pair of rows meets once and no key holds more than two blocks.
+    """
+    parts = F.ceil(F.col("n") / most).cast("int")
+    placed = rows.join(sizes.withColumn("k", parts).drop("n"), on).withColumn("b", F.pmod(F.xxhash64(item), F.col("k")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("k") - 1)
+    left = placed.withColumn("block", F.explode(F.transform(every, lambda x: F.col("b") * F.col("k") + x))).drop("k", "b")
+    right = placed.withColumn("block", F.explode(F.transform(every, lambda x: x * F.col("k") + F.col("b")))).drop("k", "b")
+    return left, right
+
 
+def _hot(cells: DataFrame, on: list[str], most: int) -> DataFrame:
+    return table(cells.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > most), "hot-cells")
 
-def links(classes: DataFrame, n_classes: int, max_bits: int = MAX_BITS, groups: int | None = None, hot: int = HOT_CELL) -> DataFrame:
+
+def links(classes: DataFrame, n_classes: int, max_bits: int = MAX_BITS, hot: int = HOT_CELL) -> DataFrame:
     """Distinct pairs ``(u, v)``, u < v, of the different fingerprints ``classes(fp)`` within ``max_bits`` bits."""
-    groups = groups or next(g for most, g in GROUPS if n_classes <= most)
-    if max_bits >= groups or groups > 32:
-        raise ValueError("groups must exceed max_bits and be at most 32")
-    masks = _masks(list(range(32)), groups, groups - max_bits)
-    points = classes.select("fp", segment_counts(F.col("fp")).alias("point"))
-    cells = _cells(points, masks, "key", "choice")
-    sizes = cells.groupBy("choice", "key").count().where(F.col("count") > hot).select(F.col("choice").alias("c"), F.col("key").alias("k"))
-    big = table(sizes, "hot-cells")
-    on = ["choice", "key"]
-    if big.isEmpty():
-        return _pairs(cells, on, max_bits).distinct()
-    at_hot = (F.col("choice") == F.col("c")) & (F.col("key") == F.col("k"))
-    calm = cells.join(big, at_hot, "left_anti")
-    inner = cells.join(big, at_hot, "left_semi")
-    # Within a hot cell the chosen groups agree; twice as many, narrower groups over all coordinates divide the rest.
-    finer = _cells(inner, _masks(list(range(32)), 8, 8 - max_bits), "key2", "choice2") if max_bits < 8 else inner
-    on2 = [*on, "choice2", "key2"] if max_bits < 8 else on
-    return _pairs(calm, on, max_bits).unionByName(_pairs(finer, on2, max_bits)).distinct()
+    cells = _cells(classes.select("fp"), max_bits)
+    big = _hot(cells, ["key"], hot) if n_classes > hot else None
+    if big is None or big.isEmpty():
+        return _pairs(cells, ["key"], max_bits).distinct()
+    found = _pairs(cells.join(big, "key", "left_anti"), ["key"], max_bits)
+    # Whatever their points, fingerprints within max_bits agree in four of max_bits + 4 groups of bits.
+    masks = F.array(*(F.lit(_signed(m)) for m in _masks(1, max_bits + 4, 4, 64)))
+    finer = cells.join(big.select("key"), "key", "left_semi").select("fp", "key", F.posexplode(masks).alias("choice", "mask"))
+    finer = finer.select("fp", "key", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
+    on = ["key", "choice", "bits"]
+    dense = _hot(finer, on, hot)
+    if dense.isEmpty():
+        return found.unionByName(_pairs(finer, on, max_bits)).distinct()
+    found = found.unionByName(_pairs(finer.join(dense, on, "left_anti"), on, max_bits))
+    left, right = in_blocks(finer, dense, on, "fp", hot)
+    blocks = left.alias("a").join(right.alias("b"), _close([*on, "block"], max_bits)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    return found.unionByName(blocks).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,32 +268,62 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(fits).where(common >= similarity * (n - common)).select("u", "v")
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_CELL) -> DataFrame:
     """``(id, version, component)`` for every row: texts whose shingle sets are linked by at least ``similarity``.
 
-    Equal sets are one node. Nodes that share a sample's fingerprint are first held against the smallest node that has
-    it; then pairs that still lie in different components are held against each other. Links within a component
+    Equal sets are one node. Each node is first held against one other, the smallest node of most of its cells; then
+    pairs of a cell that still lie in different components are held against each other. Links within a component
     would add nothing, so that a large group of copies costs one comparison a copy.
     """
     rows = table(sketches(docs, words, id_col, text_col), "sketches")
     nodes = rows.groupBy("shingles_key").agg(F.first("samples").alias("samples"))
     cells = nodes.select(F.col("shingles_key").alias("node"), F.posexplode("samples").alias("choice", "key"))
     shared = cells.groupBy("choice", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    member = table(cells.join(shared.select("choice", "key", "hub"), ["choice", "key"]), "members")
-    stars = table(member.where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "stars")
+    member = table(cells.join(shared, ["choice", "key"]), "members")
+    best = member.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
+    stars = table(best.select(F.col("hub").alias("u"), F.col("node").alias("v")), "stars")
     sets = table(_shingle_sets(docs, rows, member.select("node").distinct(), words, id_col, text_col), "shingle-sets")
     found = table(_similar(stars, sets, similarity), "copies")
     roots = table(connected_components(found), "roots")
-    placed = member.join(roots, "node", "left").select("choice", "key", "node", F.coalesce("root", "node").alias("root"))
-    a, b = placed.alias("a"), placed.alias("b")
-    apart = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-    rest = a.join(b, apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    rest = table(_apart(member, roots, hot).join(stars, ["u", "v"], "left_anti"), "apart")
     more = table(_similar(rest, sets, similarity), "copies")
     if not more.isEmpty():
         roots = table(connected_components(found.unionByName(more)), "roots")
     return rows.join(roots, F.col("shingles_key") == F.col("node"), "left").select(id_col, "version", F.coalesce("root", "shingles_key").alias("component"))
 
 
+def _apart(member: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
+    """Distinct pairs ``(u, v)``, u < v, of nodes in a cell of ``member`` whose components differ.
+
+    Only cells that hold several components are read again. In those with more than ``hot`` nodes, pairs have to share
+    another cell too; if the nodes of two cells are still too many, they are joined block by block.
+    """
+    cell = ["choice", "key"]
+    placed = member.join(roots, "node", "left").select(*cell, "n", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy(*cell).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select(*cell)
+    placed = table(placed.join(mixed, cell, "left_semi"), "mixed")
+
+    def join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        same = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+        for c in on:
+            same &= F.col(f"a.{c}") == F.col(f"b.{c}")
+        return a.alias("a").join(b.alias("b"), same).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+    calm, large = placed.where(F.col("n") <= hot), placed.where(F.col("n") > hot)
+    pairs = join(calm, calm, cell)
+    if not large.isEmpty():
+        other = placed.select("node", F.col("choice").alias("choice2"), F.col("key").alias("key2"))
+        both = large.join(other, "node").where("choice != choice2").select(*cell, "choice2", "key2", "node", "root")
+        on = [*cell, "choice2", "key2"]
+        both = table(both, "two-cells")
+        dense = _hot(both, on, hot)
+        pairs = pairs.unionByName(join(both.join(dense, on, "left_anti"), both.join(dense, on, "left_anti"), on))
+        if not dense.isEmpty():
+            left, right = in_blocks(both, dense, on, "node", hot)
+            pairs = pairs.unionByName(join(left, right, [*on, "block"]))
+    return pairs.distinct()
+
+
 def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of near copies: the one with the smallest id (null ids last), all columns.
 

@@ -43,15 +43,31 @@ def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-@pytest.mark.parametrize("groups,hot", [(5, 2000), (7, 2000), (8, 2000), (9, 2000), (7, 3)])
-def test_links_are_complete_for_any_grid(spark, groups, hot):
-    rng = random.Random(groups)
+def near(prints, bits):
+    return {(min(a, b), max(a, b)) for a in prints for b in prints if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= bits}
+
+
+def signed(prints):
+    return [p - (1 << 64) if p >> 63 else p for p in prints]
+
+
+@pytest.mark.parametrize("bits,hot", [(4, 2000), (4, 3), (0, 2000), (1, 2000), (2, 2000), (3, 2000), (5, 2000), (8, 2000)])
+def test_links_are_complete_for_any_distance(spark, bits, hot):
+    rng = random.Random(bits)
     base = [rng.getrandbits(64) for _ in range(30)]
-    prints = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(7))) for b in base for _ in range(12)}
-    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    want = {(min(a, b), max(a, b)) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
-    got = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), len(signed), groups=groups, hot=hot)
-    assert {(r.u, r.v) for r in got.collect()} == want and got.count() == len(want)
+    prints = signed({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(bits + 3))) for b in base for _ in range(12)})
+    got = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), len(prints), bits, hot)
+    assert {(r.u, r.v) for r in got.collect()} == near(prints, bits) and got.count() == len(near(prints, bits))
+
+
+@pytest.mark.parametrize("hot", [100, 2])
+def test_links_of_equal_points(spark, hot):
+    """Segments 01 and 10 have one count each: many fingerprints, one point."""
+    rng = random.Random(4)
+    prints = signed({sum(rng.choice((1, 2)) << (2 * s) for s in range(32)) for _ in range(150)} | {sum((1 + (k >> s & 1)) << (2 * s) for s in range(32)) for k in range(64)})
+    got = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), len(prints), 4, hot)
+    want = near(prints, 4)
+    assert len(want) > 500 and {(r.u, r.v) for r in got.collect()} == want and got.count() == len(want)
 
 
 def test_components_of_chains_stars_and_loops(spark):

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from quarry.llm import simhash
 
 from . import brute
@@ -60,6 +62,18 @@ def test_a_large_group_of_edited_copies(spark):
     assert 0 in kept and {1000 + i for i in range(50)} <= kept
 
 
+@pytest.mark.parametrize("hot", [2000, 40, 5])
+def test_boilerplate_that_many_texts_share(spark, hot):
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    own = [" ".join(f"q{rng.randrange(9999)}" for _ in range(rng.randrange(10, 40))) for _ in range(120)]
+    rows = [(i, f"{passage} {t}") for i, t in enumerate(own)]
+    rows += [(500 + i, f"{passage} {t} and a few") for i, t in enumerate(own[:30])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = expected([t for _, t in rows])
+    assert classes([(r.doc_id, r.component) for r in simhash.near_copies(docs, hot=hot).collect()]) == classes([(i, want[shingles(t)]) for i, t in rows])
+
+
 def test_one_row_stays_of_each_group(spark):
     text = " ".join(f"word{i}" for i in range(60))
     rows = [(3, text, "a"), (2, text.upper(), "b"), (2, text.upper(), "b"), (None, text, "c"), (7, None, "d"), (8, "", "e"), (9, " \n", "f"), (None, None, "g"), (5, "other words here", "h"), (5, "quite different text", "i"), (4, text + " more", "j")]
