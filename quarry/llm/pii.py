@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .spans import keep, rendered, tagged, with_spans
+from .spans import disjoint, keep, rendered, replaced, tagged, with_spans
 
 _LOCAL = "A-Za-z0-9._%+-"
 EMAIL = rf"(?=[{_LOCAL}])(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -71,15 +71,7 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
 def _blanked(text: Column) -> Column:
     """``text`` with every base span blanked; positions stay."""
     spans = F.array_sort(F.concat(*(F.transform(F.col(k), lambda s: F.struct(s["start"], s["end"])) for k in BASE)))
-
-    def step(acc: Column, s: Column) -> Column:
-        at = F.greatest(acc["to"], s["start"])
-        to = F.greatest(acc["to"], s["end"])
-        kept = F.substring(text, acc["to"] + 1, at - acc["to"])
-        return F.struct(to.alias("to"), F.concat(acc["out"], F.array(F.concat(kept, F.repeat(F.lit(" "), to - at)))).alias("out"))
-
-    seed = F.struct(F.lit(0).alias("to"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(spans, seed, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["to"] + 1, F.lit(2147483647))))
+    return replaced(text, disjoint(spans), lambda s, part: F.repeat(F.lit(" "), s["end"] - s["start"]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,6 +163,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.transform(F.col(name), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), F.lit(kind).alias("kind")))
 
     spans = F.array_sort(F.concat(*(ordered(k, i) for i, k in enumerate(KINDS))))
+    spans = disjoint(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["less"]).alias("end"), s["kind"].alias("kind"))))
     key = [F.col(id_col).alias("__q_id"), F.col("version").alias("__q_v")]
     dirty = table(found.select(*key, spans.alias("__q_spans")).where(F.size("__q_spans") > 0).groupBy("__q_id", "__q_v").agg(F.first("__q_spans").alias("__q_spans")), "pii-spans")
     text = F.col(text_col)
@@ -181,14 +174,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         keys = F.broadcast(dirty.select("__q_id", "__q_v"))
         clean_rows, df = df.join(keys, same, "left_anti"), df.join(keys, same, "left_semi")
     df = df.join(dirty, same, "left")
-    piece = F.struct(F.lit(0).alias("to"), F.lit("").alias("out"))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in BASE), F.lit("[TERM]"), F.lit(""))
-
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["less"]
-        fresh = F.concat(acc["out"], F.substring(text, acc["to"] + 1, s["start"] - acc["to"]), F.get(names, s["kind"]), F.when(s["kind"] == 5, F.concat(F.substring(text, s["start"] + 1, F.lit(1)), F.lit("."))).otherwise(""))
-        return F.struct(F.greatest(acc["to"], end).alias("to"), F.when(s["start"] >= acc["to"], fresh).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate(F.col("__q_spans"), piece, step, lambda a: F.concat(a["out"], F.substring(text, a["to"] + 1, F.lit(2147483647))))
+    shorter = lambda s, part: F.concat(F.get(names, s["kind"]), F.when(s["kind"] == 5, F.concat(part(s["start"], s["start"] + 1), F.lit("."))).otherwise(""))
+    clean = replaced(text, F.col("__q_spans"), shorter)
     done = df.withColumn(text_col, F.when(F.col("__q_spans").isNull(), text).otherwise(clean)).select(*docs.columns)
     return done if clean_rows is None else done.unionByName(clean_rows.select(*docs.columns))

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quarry.llm import pii, secrets
+from quarry.llm.spans import disjoint, replaced
 
 from . import brute
 
@@ -106,6 +107,39 @@ def test_sanitise_overlaps_repeats_and_extra_columns(spark):
     assert got == sorted([(1, "mail [EMAIL] [PHONE] x", "a")] * 3 + [(2, "", "b"), (None, "[EMAIL]", "c")], key=str)
 
 
+def test_spans_are_merged_and_replaced_like_plain_ones(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        text = "".join(rng.choice("abc é🙂\n") for _ in range(rng.choice([0, 5, 63, 64, 65, 200, 3000])))
+        marks = sorted({(a, min(len(text), a + rng.randrange(1, rng.choice([2, 9, 200])))) for a in (rng.randrange(len(text)) for _ in range(rng.choice([0, 1, 3, 40, 700]) if text else 0))}, key=lambda m: (m[0], -m[1]))
+        rows.append((i, text, marks))
+    df = spark.createDataFrame(rows, "i int, t string, s array<struct<start:int,end:int>>")
+    fill = lambda s, part: F.concat(F.lit("<"), part(s["start"], F.least(s["start"] + 2, s["end"])), F.lit(">"))
+    got = {r.i: (r.d, r.o) for r in df.select("i", disjoint(F.col("s")).alias("d"), replaced(F.col("t"), disjoint(F.col("s")), fill).alias("o")).collect()}
+    for i, text, marks in rows:
+        merged = []
+        for a, b in marks:
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        out, at = [], 0
+        for a, b in merged:
+            out += [text[at:a], f"<{text[a : min(a + 2, b)]}>"]
+            at = b
+        assert [list(x) for x in got[i][0]] == merged and got[i][1] == "".join(out) + text[at:]
+
+
+def test_a_text_of_many_spans(spark):
+    text = " ".join(f"user{i}@mail{i % 7}.org und +49 30 {i:06d}" for i in range(25_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.report(pii.find(df)).first()
+    want = brute.pii_spans(text)
+    assert got.n_email == 25_000 and got.n_phone == 25_000 and got.base_sha256 == brute.digest(want)
+    assert pii.sanitise(df).first().text == " ".join(["[EMAIL] und [PHONE]"] * 25_000)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert secrets.report(secrets.find(none)).collect() == [] and pii.report(pii.find(none)).collect() == [] and pii.sanitise(none).collect() == []
