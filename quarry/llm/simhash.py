@@ -132,7 +132,8 @@ def _cells(classes: DataFrame, max_bits: int) -> DataFrame:
 
 
 def _pairs(cells: DataFrame, on: list[str], max_bits: int) -> DataFrame:
-    a, b = cells.alias("a"), cells.alias("b")
+    # Sizes are estimated without the explosion into cells; the hint keeps Spark from broadcasting them.
+    a, b = cells.alias("a").hint("merge"), cells.alias("b")
     return a.join(b, _close(on, max_bits)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
@@ -179,7 +180,7 @@ def links(classes: DataFrame, n_classes: int, max_bits: int = MAX_BITS, hot: int
         return found.unionByName(_pairs(finer, on, max_bits)).distinct()
     found = found.unionByName(_pairs(finer.join(dense, on, "left_anti"), on, max_bits))
     left, right = in_blocks(finer, dense, on, "fp", hot)
-    blocks = left.alias("a").join(right.alias("b"), _close([*on, "block"], max_bits)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    blocks = left.alias("a").hint("merge").join(right.alias("b"), _close([*on, "block"], max_bits)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     return found.unionByName(blocks).distinct()
 
 
@@ -279,7 +280,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     nodes = rows.groupBy("shingles_key").agg(F.first("samples").alias("samples"))
     cells = nodes.select(F.col("shingles_key").alias("node"), F.posexplode("samples").alias("choice", "key"))
     shared = cells.groupBy("choice", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    member = table(cells.join(shared, ["choice", "key"]), "members")
+    member = table(cells.hint("merge").join(shared, ["choice", "key"]), "members")
     best = member.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
     stars = table(best.select(F.col("hub").alias("u"), F.col("node").alias("v")), "stars")
     sets = table(_shingle_sets(docs, rows, member.select("node").distinct(), words, id_col, text_col), "shingle-sets")
@@ -307,7 +308,7 @@ def _apart(member: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
         same = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
         for c in on:
             same &= F.col(f"a.{c}") == F.col(f"b.{c}")
-        return a.alias("a").join(b.alias("b"), same).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+        return a.alias("a").hint("merge").join(b.alias("b"), same).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
     calm, large = placed.where(F.col("n") <= hot), placed.where(F.col("n") > hot)
     pairs = join(calm, calm, cell)
