@@ -9,6 +9,8 @@ text, however long its chains of dots or hyphens, exhausts the regular-expressio
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ TOKEN_RE2 = rf"(?:[vV]?[0-9]+(?:\.[0-9]+)+|[{_WORD}])[{_WORD}{_MARK}]*(?:[{_JOIN
 #: Characters with a fold of their own, what they become, and the stand-in that keeps the dotted capital I.
 _FOLD_FROM, _FOLD_TO, _KEEP = "ſ\u2010\u2011\u2019\u02bcİ", "s--''\ue000", "\ue000"
 
+_TOKEN, _ACRONYM, _FOLDS = re.compile(TOKEN), re.compile(rf"[{_LETTER}]\."), str.maketrans(_FOLD_FROM, _FOLD_TO)
+
 
 def raw_tokens(text: Column) -> Column:
     """The tokens of a text as they stand, in order."""
@@ -45,6 +49,15 @@ def tokenize(text: Column) -> Column:
     return F.transform(raw_tokens(text), normalise)
 
 
+def tokens_of(text: str) -> list[str]:
+    """``tokenize`` of one string, on the driver: the same pattern and folds without a Spark job."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        folded = m[0].translate(_FOLDS).lower().replace(_KEEP, "İ")
+        out.append(folded.replace(".", "") if _ACRONYM.match(folded) else folded)
+    return out
+
+
 def tokens(corpus: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...] = ("title", "body"), keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, field, pos, term, *keep)``: one row per token; field is the index in ``fields``."""
     texts = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("field"), F.col(f).alias("t")) for i, f in enumerate(fields)))

@@ -76,6 +76,28 @@ def transition(state: Column, response: Column, attempts: Column, max_attempts:
     )
 
 
+def fenced(answers: DataFrame, frontier: DataFrame) -> DataFrame:
+    """``answers(url, lease_token, ...)`` with ``verdict``: only the holder of a row's lease may answer.
+
+    ``accepted``, or why not: the row is not in progress (``no lease``), has been leased again (``lost lease``), or is
+    ``unknown``.
+    """
+    held = frontier.select(F.col("url").alias("_url"), F.col("state").alias("_state"), F.col("lease_token").alias("_token"))
+    verdict = (
+        F.when(F.col("_url").isNull(), "unknown").when(F.col("_state") != "in_progress", "no lease")
+        .when(F.col("_token").eqNullSafe(F.col("lease_token")) & F.col("_token").isNotNull(), "accepted").otherwise("lost lease")
+    )
+    return answers.join(held, F.col("url") == F.col("_url"), "left").withColumn("verdict", verdict).drop("_url", "_state", "_token")
+
+
+def fence_generations(results: DataFrame, raw: DataFrame) -> DataFrame:
+    """``results(url, generation, ...)`` of deferred parsing with ``verdict``: ``current`` if the raw page still has that
+    generation, ``superseded`` if it has moved on, ``unknown`` without a raw page or ahead of it."""
+    now = raw.select(F.col("url").alias("_url"), F.col("generation").alias("_now"))
+    verdict = F.when(F.col("_now") == F.col("generation"), "current").when(F.col("_now") > F.col("generation"), "superseded").otherwise("unknown")
+    return results.join(now, F.col("url") == F.col("_url"), "left").withColumn("verdict", verdict).drop("_url", "_now")
+
+
 def recover(frontier: DataFrame, now: int) -> DataFrame:
     """Expired leases go back: rows in progress whose time has come become retries without a token."""
     lost = (F.col("state") == "in_progress") & (F.col("available_at") <= now)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import log_tf, tokens, variable_byte_length
+from ..sources.shared import numbered, table
 
 #: Detachment rules of WordNet's morphology: (part of speech, suffix, ending), in order.
 SUFFIXES = (
@@ -33,16 +34,29 @@ def norms(postings_: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return postings_.groupBy(id_col).agg(F.sqrt(F.sum(w * w)).alias("norm"))
 
 
+def _sorted(df: DataFrame, order: list[str], buckets: int | None) -> DataFrame:
+    """By ranges of all of ``order``, so that the rows of one term may fill many files."""
+    return (df.repartitionByRange(buckets, *order) if buckets else df.repartitionByRange(*order)).sortWithinPartitions(*order)
+
+
+def write_term_space(tokens_: DataFrame, path: str, id_col: str = "doc_id", buckets: int | None = None) -> None:
+    """Tokens, postings and norms of one term space as Parquet, the first two sorted by term, so that a term's row
+    groups are found by their statistics. Fails if a folder exists."""
+    spark = tokens_.sparkSession
+    raw = table(tokens_.select(id_col, "field", "pos", "term"), "index-tokens")
+    _sorted(raw, ["term", id_col, "field", "pos"], buckets).write.mode("errorifexists").parquet(f"{path}/tokens")
+    _sorted(table(postings(raw, id_col), "index-postings"), ["term", id_col], buckets).write.mode("errorifexists").parquet(f"{path}/postings")
+    norms(spark.read.parquet(f"{path}/postings"), id_col).write.mode("errorifexists").parquet(f"{path}/norms")
+
+
 def write_index(corpus: DataFrame, path: str, id_col: str = "doc_id", buckets: int | None = None) -> None:
-    """Tokens, postings and norms as Parquet; postings range-partitioned and sorted by term, so that a term's row groups
-    are found by their statistics. Fails if the folder exists; ``_SUCCESS`` marks what is complete."""
-    t = tokens(corpus, id_col)
-    t.write.mode("errorifexists").parquet(f"{path}/tokens")
-    t = corpus.sparkSession.read.parquet(f"{path}/tokens")
-    p = postings(t, id_col)
-    ordered = p.repartitionByRange(buckets, "term", id_col) if buckets else p.repartitionByRange("term", id_col)
-    ordered.sortWithinPartitions("term", id_col).write.mode("errorifexists").parquet(f"{path}/postings")
-    norms(corpus.sparkSession.read.parquet(f"{path}/postings"), id_col).write.mode("errorifexists").parquet(f"{path}/norms")
+    """The index of a corpus's words; see ``write_term_space``."""
+    write_term_space(tokens(corpus, id_col), path, id_col, buckets)
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tokens, postings and norms of a written index."""
+    return tuple(spark.read.parquet(f"{path}/{part}") for part in ("tokens", "postings", "norms"))
 
 
 def dictionary(pairs: DataFrame) -> DataFrame:
@@ -104,9 +118,14 @@ def group_frequencies(tokens_: DataFrame, groups: dict[str, str]) -> DataFrame:
 
 
 def ranked(frequencies: DataFrame) -> DataFrame:
-    """Rank (most frequent first, ties by term) and relative frequency within each group."""
-    by = W.partitionBy("group")
-    return frequencies.select("group", F.row_number().over(by.orderBy(F.desc("frequency"), "term")).alias("rank"), "term", "frequency", (F.col("frequency") / F.sum("frequency").over(by)).alias("relative_frequency"))
+    """Rank (most frequent first, ties by term) and relative frequency within each group.
+
+    Ranks come from places in the order of all groups, so that the vocabulary of one group is spread over tasks too.
+    """
+    placed = numbered(frequencies.select("group", "term", "frequency"), ["group", F.desc("frequency"), "term"], "_n")
+    groups = placed.groupBy("group").agg(F.min("_n").alias("_from"), F.sum("frequency").alias("_sum")).withColumnRenamed("group", "_g")
+    joined = placed.join(groups, F.col("group").eqNullSafe(F.col("_g")))
+    return joined.select("group", (F.col("_n") - F.col("_from") + 1).alias("rank"), "term", "frequency", (F.col("frequency") / F.col("_sum")).alias("relative_frequency"))
 
 
 def zipf_statistics(ranked_: DataFrame, fit_min: int = 10, fit_max: int = 10_000) -> DataFrame:
@@ -140,32 +159,40 @@ def curve_ranks(last: int) -> list[int]:
 
 def sampled_curve(ranked_: DataFrame) -> DataFrame:
     """The rows of ``ranked`` at each group's curve ranks."""
-    last = F.max("rank").over(W.partitionBy("group"))
+    last = ranked_.groupBy(F.col("group").alias("_g")).agg(F.max("rank").alias("_last"))
     ranks = curve_ranks(1 << 31)
-    return ranked_.withColumn("last", last).where(F.col("rank").isin(*ranks) | (F.col("rank") == F.col("last"))).drop("last")
+    return ranked_.join(last, F.col("group").eqNullSafe(F.col("_g"))).where(F.col("rank").isin(*ranks) | (F.col("rank") == F.col("_last"))).drop("_g", "_last")
+
+
+#: Document ids that share a chunk of a posting list.
+CHUNK = 1 << 16
+
 
+def codec_sizes(postings_: DataFrame, id_col: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
+    """Per term: postings, bytes as 8-byte ids, bytes as variable-byte gaps, and skip pointers (every root of n from 256 on).
 
-def codec_sizes(postings_: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per term: postings, bytes as 8-byte ids, bytes as variable-byte gaps, and skip pointers (every root of n from 256 on)."""
-    gap = F.col(id_col) - F.coalesce(F.lag(id_col).over(W.partitionBy("term").orderBy(id_col)), F.lit(0))
-    sizes = postings_.select("term", id_col, variable_byte_length(gap).alias("bytes")).groupBy("term").agg(F.count("*").alias("df"), F.sum("bytes").alias("gap_bytes"))
+    Gaps are taken within chunks of ids; then one row for each chunk gives the gap at its start, so that a frequent
+    term's list is never in one task.
+    """
+    part = F.floor(F.col(id_col) / chunk)
+    inside = F.col(id_col) - F.lag(id_col).over(W.partitionBy("term", "part").orderBy(id_col))
+    rows = postings_.select("term", id_col, part.alias("part"))
+    chunks = rows.withColumn("bytes", variable_byte_length(inside)).groupBy("term", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min(id_col).alias("a"), F.max(id_col).alias("b"))
+    start = F.col("a") - F.coalesce(F.lag("b").over(W.partitionBy("term").orderBy("part")), F.lit(0))
+    sizes = chunks.withColumn("start", variable_byte_length(start)).groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.coalesce("bytes", F.lit(0)) + F.col("start")).alias("gap_bytes"))
     step = F.ceil(F.sqrt("df")).cast("long")
     skips = F.when(F.col("df") >= 256, F.ceil(F.col("df") / step) - 1).otherwise(0).cast("long")
     return sizes.select("term", "df", (F.col("df") * 8).alias("raw_bytes"), "gap_bytes", skips.alias("skips"))
 
 
 def front_coding(vocabulary_: DataFrame, block: int = 16) -> DataFrame:
-    """``(term, block, shared, suffix)``: terms in byte order, in blocks whose first term is whole.
-
-    Ordered by the term's first two characters, so that no task gets the whole vocabulary; blocks restart there.
-    """
-    lead = F.substring("term", 1, 2)
-    by = W.partitionBy("lead").orderBy("term")
-    rows = vocabulary_.select("term", lead.alias("lead")).withColumn("i", F.row_number().over(by) - 1).withColumn("before", F.lag("term").over(by))
-    n = F.least(F.length("term"), F.length("before"))
-    same = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda a, k: F.when((a == k - 1) & (F.substring(F.col("term"), k, F.lit(1)) == F.substring(F.col("before"), k, F.lit(1))), k).otherwise(a))
-    shared = F.when(F.col("i") % block == 0, 0).otherwise(F.coalesce(same, F.lit(0))).cast("int")
-    return rows.select("term", F.concat_ws(":", "lead", (F.floor(F.col("i") / block)).cast("string")).alias("block"), shared.alias("shared")).withColumn("suffix", F.expr("substring(term, shared + 1)"))
+    """``(term, block, shared, suffix)``: terms in byte order, in blocks whose first term is whole."""
+    rows = numbered(vocabulary_.select("term"), ["term"], "i").withColumn("block", F.floor(F.col("i") / block))
+    before = F.lag("term").over(W.partitionBy("block").orderBy("i"))
+    letters = lambda c: F.split(c, "")
+    rows = rows.withColumn("before", before).withColumn("same", F.zip_with(letters(F.col("term")), letters(F.col("before")), lambda a, b: a.eqNullSafe(b)))
+    shared = F.when(F.col("before").isNull(), 0).otherwise(F.array_position("same", False) - 1).cast("int")
+    return rows.select("term", "block", shared.alias("shared")).withColumn("suffix", F.expr("substring(term, shared + 1)"))
 
 
 def verify(postings_: DataFrame, vocabulary_: DataFrame, documents: DataFrame, norms_: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -14,20 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import idf, log_tf, tokenize
+from ..functions.text import idf, log_tf, tokens_of
 from ..sources.shared import table
 from .language import And, Not, Or, QueryError, Term, parse, true_for_nothing
 
-MAX_TERMS, MAX_RESULTS = 512, 1000
-
-
-def tokenizer(spark: SparkSession):
-    """The engine's own tokenizer for query strings, one row on the driver."""
-
-    def split(text: str) -> list[str]:
-        return spark.createDataFrame([(text,)], "t string").select(tokenize(F.col("t"))).first()[0]
-
-    return split
+MAX_TERMS, MAX_RESULTS, MAX_DIAGNOSTIC = 512, 1000, 2048
 
 
 def slots(words: list[str] | tuple[str, ...], lemmas: dict[str, list[str]] | None = None) -> list[list[str]]:
@@ -69,7 +60,7 @@ def phrase_hits(tokens: DataFrame, words: list[list[str]], id_col: str = "doc_id
 
 def boolean_search(query: str, spark: SparkSession, postings: DataFrame, tokens: DataFrame, universe: DataFrame, id_col: str = "doc_id", lemmas: dict[str, list[str]] | None = None) -> DataFrame:
     """Ids of the documents that satisfy ``query``; ``postings`` (term, id) and ``tokens`` are of one term space."""
-    tree, operands = parse(query, tokenizer(spark))
+    tree, operands = parse(query, tokens_of)
     bits: dict[str, int] = {}
     parts = []
     for o in operands:
@@ -90,7 +81,7 @@ def boolean_search(query: str, spark: SparkSession, postings: DataFrame, tokens:
 
 def search_by_sets(query: str, spark: SparkSession, postings: DataFrame, tokens: DataFrame, universe: DataFrame, id_col: str = "doc_id", lemmas: dict[str, list[str]] | None = None) -> DataFrame:
     """The same result by set operations: one join per operator."""
-    tree, _ = parse(query, tokenizer(spark))
+    tree, _ = parse(query, tokens_of)
     everything = universe.select(id_col).distinct()
 
     def ids(node) -> DataFrame:
@@ -139,7 +130,7 @@ def ranked_search(query: str, spark: SparkSession, postings: DataFrame, norms: D
     """
     if not 1 <= limit <= MAX_RESULTS:
         raise QueryError(f"the limit is 1 to {MAX_RESULTS}")
-    split = tokenizer(spark)
+    split = tokens_of
     pieces = query.split('"')
     if len(pieces) % 2 == 0:
         raise QueryError("a quotation mark is not closed")
@@ -177,10 +168,15 @@ def diagnostic_search(queries: DataFrame, tokens: DataFrame, lemma_tokens: DataF
     title hits times (n + 1), plus the exactly met terms in hybrid mode, n the number of distinct terms.
     """
     asked = queries.select("query_id", "term").distinct()
+    # A query file is small; its terms as literals reach the scans of tables that are sorted by term.
+    words = [r.term for r in asked.select("term").distinct().limit(MAX_DIAGNOSTIC + 1).collect()]
+    if len(words) > MAX_DIAGNOSTIC:
+        raise QueryError(f"a query file has at most {MAX_DIAGNOSTIC} different terms")
     n = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    exact = tokens.join(asked, "term").groupBy("query_id", "term", id_col).agg(F.max((F.col("field") == 0).cast("int")).alias("title"))
-    by_lemma = asked.join(lemmas.select("term", F.explode("lemmas").alias("lemma")), "term")
-    loose = lemma_tokens.withColumnRenamed("term", "lemma").join(by_lemma, "lemma").groupBy("query_id", "term", id_col).agg(F.max((F.col("field") == 0).cast("int")).alias("title"))
+    exact = tokens.where(F.col("term").isin(*words)).join(asked, "term").groupBy("query_id", "term", id_col).agg(F.max((F.col("field") == 0).cast("int")).alias("title"))
+    by_lemma = asked.join(lemmas.where(F.col("term").isin(*words)).select("term", F.explode("lemmas").alias("lemma")), "term")
+    wanted = [r.lemma for r in by_lemma.select("lemma").distinct().collect()]  # at most 64 for each of the terms
+    loose = lemma_tokens.where(F.col("term").isin(*wanted)).withColumnRenamed("term", "lemma").join(by_lemma, "lemma").groupBy("query_id", "term", id_col).agg(F.max((F.col("field") == 0).cast("int")).alias("title"))
     e = exact.groupBy("query_id", id_col).agg(F.count("*").alias("met"), F.sum("title").alias("titles"))
     l = loose.groupBy("query_id", id_col).agg(F.count("*").alias("met"), F.sum("title").alias("titles"))  # noqa: E741
     both = l.join(e.select("query_id", id_col, F.col("met").alias("exactly")), ["query_id", id_col], "left").join(n, "query_id").where("met = n")

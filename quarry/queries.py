@@ -6,6 +6,8 @@ it is the feature (top-k reports, per-source samples).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from .operators import snippet as sn
 from .operators import statistics as st
 from .plans import search as se
 from .sources.corpus import corpus_of
-from .sources.shared import ship
+from .sources.shared import built_once, files_version, numbered, ship
 from .streaming import frontier as fr
 
 QUERIES: dict[str, tuple] = {}
@@ -148,16 +150,8 @@ def indexable_query(spark, sf):
 
 @register("s3_dense_ids", "SELECT url, row_number() OVER (ORDER BY url, page_id) AS id FROM pages")
 def dense_ids(spark, sf):
-    """Dense ids in URL order without one task for all rows: ranks within ranges, moved by the ranges' sizes."""
-    return _dense(read(spark, sf, "pages").select("url", "page_id"), ["url", "page_id"]).select("url", "id")
-
-
-def _dense(df: DataFrame, order: list[str]) -> DataFrame:
-    lead = F.substring(order[0], 1, 24)
-    within = F.row_number().over(W.partitionBy("lead").orderBy(*order))
-    sizes = df.groupBy(lead.alias("lead")).agg(F.count("*").alias("n"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(W.orderBy("lead").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return df.withColumn("lead", lead).withColumn("k", within).join(starts.select("lead", "start"), "lead").withColumn("id", (F.col("start") + F.col("k")).cast("long"))
+    """Dense ids in URL order without one task for all rows."""
+    return numbered(read(spark, sf, "pages").select("url", "page_id"), ["url", "page_id"]).select("url", (F.col("n") + 1).alias("id"))
 
 
 @register(
@@ -264,7 +258,13 @@ def codec_sizes(spark, sf):
     return ix.codec_sizes(ix.postings(tokens(spark, sf)))
 
 
-@register("x5_front_coding")
+@register(
+    "x5_front_coding",
+    f"""WITH {TOKENS}, v AS (SELECT term, (row_number() OVER (ORDER BY term) - 1) // 16 AS block FROM (SELECT DISTINCT term FROM tokens)),
+  b AS (SELECT *, lag(term) OVER (PARTITION BY block ORDER BY term) AS before FROM v),
+  s AS (SELECT *, CASE WHEN before IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(term), length(before)) + 1), lambda k: term[:k] = before[:k])) END AS shared FROM b)
+SELECT term, block, shared::INT AS shared, substr(term, shared + 1) AS suffix FROM s""",
+)
 def front_coding(spark, sf):
     return ix.front_coding(tokens(spark, sf).select("term").distinct())
 
@@ -272,17 +272,31 @@ def front_coding(spark, sf):
 @register("x6_inspect", f"WITH {POSTINGS} SELECT doc_id, tf, (SELECT count(*) FROM postings WHERE term = 'rewh') AS df FROM postings WHERE term = 'rewh' ORDER BY doc_id LIMIT 20")
 def inspect(spark, sf):
     """One term's document frequency and its first documents."""
-    one = ix.postings(tokens(spark, sf).where("term = 'rewh'"))
+    one = index_of(spark, sf)[1].where("term = 'rewh'")
     return one.orderBy("doc_id").limit(20).withColumn("df", one.agg(F.count("*")).scalar()).select("doc_id", "tf", "df")
 
 
 @register(
     "x7_verify",
-    """SELECT unnest(['duplicate postings', 'unknown documents', 'postings without frequency', 'wrong document frequency', 'norms missing', 'norms not positive']) AS "check", 0::BIGINT AS violations""",
+    f"""WITH {NORMS}, d AS (SELECT doc_id, source FROM documents),
+  p AS (SELECT term, doc_id, tf FROM postings WHERE term NOT LIKE 'b%' UNION ALL SELECT term, doc_id, 0 FROM postings WHERE term LIKE 'b%' UNION ALL SELECT term, doc_id, tf FROM postings WHERE term LIKE 'da%'),
+  v AS (SELECT term, count(*) + CASE WHEN term LIKE 'c%' THEN 1 ELSE 0 END AS df FROM p WHERE term NOT LIKE 'ea%' GROUP BY term), n AS (SELECT term, count(*) AS n FROM p GROUP BY term),
+  m AS (SELECT doc_id, CASE source WHEN 'src3' THEN 0.0 WHEN 'src4' THEN NULL WHEN 'src5' THEN 'nan'::DOUBLE ELSE norm END AS norm FROM norms JOIN d USING (doc_id) WHERE source <> 'src2')
+SELECT 'duplicate postings' AS "check", count(*) AS violations FROM (SELECT 1 FROM p GROUP BY term, doc_id HAVING count(*) > 1)
+  UNION ALL SELECT 'unknown documents', count(*) FROM p JOIN d USING (doc_id) WHERE source = 'src1' UNION ALL SELECT 'postings without frequency', count(*) FROM p WHERE tf < 1
+  UNION ALL SELECT 'wrong document frequency', count(*) FROM v FULL JOIN n USING (term) WHERE df IS DISTINCT FROM n
+  UNION ALL SELECT 'norms missing', count(DISTINCT doc_id) FROM p WHERE doc_id NOT IN (SELECT doc_id FROM m) UNION ALL SELECT 'norms not positive', count(*) FROM m WHERE norm IS NULL OR norm <= 0 OR isnan(norm)""",
 )
 def verify(spark, sf):
-    p = ix.postings(tokens(spark, sf))
-    return ix.verify(p, ix.vocabulary(p), read(spark, sf, "documents").select("doc_id"), ix.norms(p))
+    """The checks on a damaged index: repeated and zero postings, wrong and missing frequencies, norms and documents."""
+    docs = read(spark, sf, "documents").select("doc_id", "source")
+    _, p, norms = index_of(spark, sf)
+    p = p.withColumn("tf", F.when(F.col("term").startswith("b"), 0).otherwise(F.col("tf"))).select("term", "doc_id", "tf")
+    p = p.unionByName(p.where("term like 'da%'"))
+    v = p.where("term not like 'ea%'").groupBy("term").agg((F.count("*") + F.when(F.col("term").startswith("c"), 1).otherwise(0)).alias("df"))
+    norm = F.when(F.col("source") == "src3", 0.0).when(F.col("source") == "src4", None).when(F.col("source") == "src5", float("nan")).otherwise(F.col("norm"))
+    norms = norms.join(docs, "doc_id").where("source <> 'src2'").select("doc_id", norm.alias("norm"))
+    return ix.verify(p, v, docs.where("source <> 'src1'"), norms)
 
 
 @register(
@@ -405,9 +419,31 @@ def best_examples(spark, sf):
 # Search
 
 
+def index_of(spark, sf):
+    """Tokens, postings and norms of the documents: built once for each version of the table, then read.
+
+    Queries filter them by term, which the scan sees: both are sorted by it.
+    """
+    version = files_version(spark, f"{sf}/documents.parquet")
+    return ix.read_index(spark, built_once(spark, f"quarry-index-{version}", lambda path: ix.write_index(corpus(spark, sf), path)))
+
+
+def lemma_index_of(spark, sf):
+    """The same in the lemma space, of the small dictionary; and the lemmas of all terms."""
+    version = f"{files_version(spark, f'{sf}/documents.parquet')}-{hashlib.sha256(repr(PAIRS).encode()).hexdigest()[:16]}"
+
+    def build(path: str) -> None:
+        t = index_of(spark, sf)[0]
+        ix.lemmatize(t.select("term").distinct(), dictionary(spark)).write.parquet(f"{path}/lemmas")
+        ix.write_term_space(ix.lemma_tokens(t, spark.read.parquet(f"{path}/lemmas")), path)
+
+    path = built_once(spark, f"quarry-lemma-index-{version}", build)
+    return *ix.read_index(spark, path), spark.read.parquet(f"{path}/lemmas")
+
+
 def _search_tables(spark, sf):
-    t = tokens(spark, sf)
-    return ix.postings(t), t, read(spark, sf, "documents").select("doc_id")
+    t, p, _ = index_of(spark, sf)
+    return p, t, read(spark, sf, "documents").select("doc_id")
 
 
 @register("q1_terms", f"WITH {TOKENS} SELECT DISTINCT doc_id FROM tokens WHERE term = 'rewh'")
@@ -440,7 +476,7 @@ def negation(spark, sf):
 
 @register("q5_phrase", f"WITH {TOKENS}, {_phrase_sql(PHRASE)} SELECT doc_id FROM phrase")
 def phrase(spark, sf):
-    return se.phrase_hits(tokens(spark, sf), [[w] for w in PHRASE.split()])
+    return se.phrase_hits(index_of(spark, sf)[0], [[w] for w in PHRASE.split()])
 
 
 @register(
@@ -456,8 +492,8 @@ def first_hits(spark, sf):
 
 
 def _ranked_search(spark, sf, query: str, **more) -> DataFrame:
-    p, t, docs = _search_tables(spark, sf)
-    return se.ranked_search(query, spark, p, ix.norms(p), t, docs.count(), 20, **more)
+    t, p, norms = index_of(spark, sf)
+    return se.ranked_search(query, spark, p, norms, t, read(spark, sf, "documents").count(), 20, **more)
 
 
 @register("q7_tfidf_topk", f"WITH {NORMS}, {_ranked_sql(RANKED)}")
@@ -526,9 +562,7 @@ def reduction(spark, sf):
 @register("l5_lemma_phrase", f"WITH {LEMMAS}, {_phrase_sql('of the', table='lemma_tokens')} SELECT doc_id FROM phrase")
 def lemma_phrase(spark, sf):
     """Phrase in the lemma space; "th" and "the" share the lemma of the adjective there."""
-    t = tokens(spark, sf)
-    lt = ix.lemma_tokens(t, lemmas(spark, sf))
-    return se.phrase_hits(lt, [["of"], ["the"]])
+    return se.phrase_hits(lemma_index_of(spark, sf)[0], [["of"], ["the"]])
 
 
 @register(
@@ -543,19 +577,16 @@ def lemma_phrase(spark, sf):
 SELECT query_id, mode, row_number() OVER (PARTITION BY query_id, mode ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM modes QUALIFY rank <= 10""",
 )
 def diagnostic(spark, sf):
-    t, lem = tokens(spark, sf), lemmas(spark, sf)
+    lt, _, _, lem = lemma_index_of(spark, sf)
     asked = spark.createDataFrame([(k, w) for k, v in DIAGNOSTIC.items() for w in v], "query_id string, term string")
-    return se.diagnostic_search(asked, t, ix.lemma_tokens(t, lem), lem)
+    return se.diagnostic_search(asked, index_of(spark, sf)[0], lt, lem)
 
 
 @register("l7_lemma_tfidf", f"""WITH {LEMMAS}, postings AS (SELECT term, doc_id, count(*) AS tf FROM lemma_tokens GROUP BY ALL), norms AS (SELECT doc_id, sqrt(sum(pow(1 + log10(tf), 2))) AS norm FROM postings GROUP BY doc_id), {_ranked_sql("er erer rewh")}""")
 def lemma_tfidf(spark, sf):
-    t = tokens(spark, sf)
-    lem = lemmas(spark, sf)
-    lt = ix.lemma_tokens(t, lem)
-    p = ix.postings(lt)
+    lt, p, norms, _ = lemma_index_of(spark, sf)
     asked = {r.term: list(r.lemmas) for r in ix.lemmatize(spark.createDataFrame([("er",), ("rewh",)], "term string"), dictionary(spark)).collect()}
-    return se.ranked_search("er rewh", spark, p, ix.norms(p), lt, read(spark, sf, "documents").count(), 20, lemmas=asked)
+    return se.ranked_search("er rewh", spark, p, norms, lt, read(spark, sf, "documents").count(), 20, lemmas=asked)
 
 
 @register(
@@ -567,7 +598,7 @@ def batch_queries(spark, sf):
     """All benchmark passages as conjunctive queries at once."""
     from .plans.batch import conjunctive
 
-    return conjunctive(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), ix.postings(tokens(spark, sf)))
+    return conjunctive(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), index_of(spark, sf)[1])
 
 
 # Collection
@@ -669,6 +700,30 @@ def recover(spark, sf):
     return co.recover(_frontier(spark, sf), 500).groupBy("state").agg(F.count("*").alias("n"), F.count("lease_token").alias("leased"))
 
 
+@register(
+    "c21_fenced_answers",
+    f"""WITH {_FRONTIER}, a AS (SELECT 'u' || o_orderkey AS url, CASE WHEN o_custkey % 4 = 0 THEN 'old' ELSE 't' END AS token, o_custkey % 3 AS turn FROM orders)
+SELECT a.url, a.turn, CASE WHEN state <> 'in_progress' THEN 'no lease' WHEN token <> 't' THEN 'lost lease' ELSE 'accepted' END AS verdict FROM a JOIN frontier USING (url) UNION ALL SELECT 'nowhere', 0, 'unknown'""",
+)
+def fenced_answers(spark, sf):
+    answers = read(spark, sf, "orders").select(F.concat(F.lit("u"), "o_orderkey").alias("url"), F.when(F.col("o_custkey") % 4 == 0, "old").otherwise("t").alias("lease_token"), (F.col("o_custkey") % 3).alias("turn"))
+    answers = answers.unionByName(spark.createDataFrame([("nowhere", "t", 0)], "url string, lease_token string, turn long"))
+    return co.fenced(answers, _frontier(spark, sf)).select("url", "turn", "verdict")
+
+
+@register(
+    "c22_parse_results",
+    """WITH r AS (SELECT user_id AS url, event_id AS fetched, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS generation, max(event_id) OVER (PARTITION BY user_id) AS newest FROM events)
+SELECT url, generation, CASE WHEN fetched = newest THEN 'current' ELSE 'superseded' END AS verdict FROM r""",
+)
+def parse_results(spark, sf):
+    """Each event as a fetched generation of its user's page, parsed late: only the newest counts."""
+    by = W.partitionBy("url").orderBy("at")
+    results = _fetches(spark, sf).select("url", "at").withColumn("generation", F.row_number().over(by)).drop("at")
+    raw = results.groupBy("url").agg(F.max("generation").alias("generation"))
+    return co.fence_generations(results, raw).select("url", F.col("generation").cast("long").alias("generation"), "verdict")
+
+
 @register(
     "c10_refresh_due",
     """WITH last AS (SELECT 'u' || user_id AS source, max(event_id) AS finished_at, arg_max(CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END, event_id) AS status FROM events GROUP BY user_id)
@@ -797,12 +852,17 @@ def stream_versions(spark, sf):
 
 @register(
     "t3_stream_frontier",
-    """WITH e AS (SELECT user_id::VARCHAR AS url, event_id AS fetched, event_type, min(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id) AS gone FROM events),
-  a AS (SELECT *, gone IS NOT NULL AND fetched >= gone AS is_gone FROM e)
-SELECT url, fetched, CASE WHEN is_gone THEN 'gone' WHEN event_type = 'error' THEN 'retry' ELSE 'done' END AS state FROM a""",
+    """WITH e AS (SELECT user_id::VARCHAR AS url, event_id AS fetched, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'gone' ELSE 'ok' END AS kind FROM events),
+  i AS (SELECT *, sum((kind = 'ok')::INT) OVER (PARTITION BY url ORDER BY fetched) AS island FROM e),
+  a AS (SELECT *, (sum((kind = 'error')::INT) OVER (PARTITION BY url, island ORDER BY fetched))::INT AS attempts FROM i),
+  s AS (SELECT url, min(fetched) AS stop, arg_min(kind, fetched) AS kind, arg_min(attempts, fetched) AS attempts FROM a WHERE kind = 'gone' OR kind = 'error' AND attempts >= 3 GROUP BY url)
+SELECT a.url, a.fetched, CASE WHEN a.fetched >= stop THEN CASE s.kind WHEN 'gone' THEN 'gone' ELSE 'blocked' END WHEN a.kind = 'error' THEN 'retry' ELSE 'done' END AS state,
+  CASE WHEN a.fetched >= stop THEN s.attempts ELSE a.attempts END AS attempts,
+  (CASE WHEN a.fetched >= stop THEN stop + CASE s.kind WHEN 'gone' THEN 0 ELSE 240 END WHEN a.kind = 'error' THEN a.fetched + 60 * pow(2, a.attempts - 1) ELSE a.fetched END)::BIGINT AS available_at
+FROM a LEFT JOIN s USING (url)""",
 )
 def stream_frontier(spark, sf):
     """The frontier's state machine over the events: errors are server errors, sign-ups stand for pages that are gone."""
     response = F.when(F.col("event_type") == "error", "server_error").when(F.col("event_type") == "signup", "not_found").otherwise("valid")
     answers = _stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("at"), response.alias("response"), F.col("event_type").alias("digest"))
-    return fr.drain(fr.frontier_states(answers, max_attempts=1_000_000, retry_after=0)).select("url", F.col("at").alias("fetched"), "state")
+    return fr.drain(fr.frontier_states(answers, max_attempts=3, retry_after=60)).select("url", F.col("at").alias("fetched"), "state", "attempts", "available_at")

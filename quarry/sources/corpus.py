@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import numbered
+
 CORPUS = "doc_id long, source string, title string, body string"
 INVENTORY = "source string, category string, url string, sitemap_url string"
 MAX_FIELD = 64 << 20
@@ -47,19 +49,11 @@ def publication_type(category) -> F.Column:
 def publish(documents: DataFrame, path: str) -> DataFrame:
     """Write an immutable corpus with dense ids in URL order and a manifest row; fails if it exists or is empty.
 
-    Ids come from counts per range partition and a running number within it, so that no task sees the whole corpus.
+    Ids come from ``numbered``, so that no task sees the whole corpus.
     """
-    ordered = documents.repartitionByRange("url").sortWithinPartitions("url").withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     spark = documents.sparkSession
-    ordered.write.mode("errorifexists").parquet(f"{path}/staging")
-    staged = spark.read.parquet(f"{path}/staging")
-    sizes = staged.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("first"))
-    from pyspark.sql import Window as W
-
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    numbered = staged.join(F.broadcast(starts), "_p").withColumn("doc_id", (F.col("start") + F.col("_m") - F.col("first") + 1).cast("long"))
-    numbered = numbered.drop("_p", "_m", "n", "first", "start")
-    numbered.write.mode("errorifexists").parquet(f"{path}/corpus")
+    every = numbered(documents, ["url"], "doc_id").withColumn("doc_id", F.col("doc_id") + 1)
+    every.write.mode("errorifexists").parquet(f"{path}/corpus")
     corpus = spark.read.parquet(f"{path}/corpus")
     manifest = corpus.agg(F.count("*").alias("documents"), F.bit_xor(F.xxhash64(*[c for c in corpus.columns if c != "metadata"])).alias("fingerprint"))
     manifest = manifest.withColumn("documents", F.when(F.col("documents") > 0, F.col("documents")).otherwise(F.raise_error(F.lit("nothing to publish")).cast("long")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import remove_at_exit, shared_dir, ship
 
-STATE = "state string, attempts int, available_at long, digest string, generation long"
+STATE = "state string, attempts int, available_at long, digest string, generation long, seen long"
 OUTPUT = "url string, at long, state string, attempts int, available_at long, changed boolean, generation long"
 
 
@@ -32,20 +32,22 @@ def advance(state: tuple, at: int, response: str, digest: str | None, retry_afte
 def frontier_states(answers: DataFrame, max_attempts: int = 5, retry_after: int = 60) -> DataFrame:
     """The frontier's transitions over a stream of answers ``(url, at, response, digest)``.
 
-    State is kept per URL, in the order of ``at`` within a micro-batch; an answer older than the state's time still
-    counts, as it comes. Blocked and gone URLs stay so.
+    State is kept per URL, in the order of ``at`` within a micro-batch. An answer older than one that the state has
+    seen is superseded: its row repeats the state. Blocked and gone URLs stay so.
     """
 
     ship(answers.sparkSession)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        now = held.get if held.exists else ("pending", 0, 0, None, 0)
+        now = held.get if held.exists else ("pending", 0, 0, None, 0, None)
         rows = []
         for r in pd.concat(list(frames)).sort_values("at", kind="stable").itertuples():
             changed = False
-            if now[0] not in ("blocked", "gone"):
-                now, changed = advance(now, int(r.at), r.response, r.digest, retry_after, max_attempts)
-            rows.append((key[0], int(r.at), now[0], now[1], now[2], changed, now[4]))
+            at = int(r.at)
+            if now[0] not in ("blocked", "gone") and (now[5] is None or at >= now[5]):
+                moved, changed = advance(now[:5], at, r.response, r.digest, retry_after, max_attempts)
+                now = (*moved, at)
+            rows.append((key[0], at, now[0], now[1], now[2], changed, now[4]))
         held.update(now)
         yield pd.DataFrame(rows, columns=["url", "at", "state", "attempts", "available_at", "changed", "generation"])
 
