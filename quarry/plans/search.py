@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import idf, log_tf, tokens_of
-from ..sources.shared import table
+from ..sources.shared import numbered, table
 from .language import And, Not, Or, QueryError, Term, parse, true_for_nothing
 
 MAX_TERMS, MAX_RESULTS, MAX_DIAGNOSTIC = 512, 1000, 2048
@@ -113,6 +113,16 @@ def first_hits(hits: DataFrame, corpus: DataFrame, limit: int, columns: tuple[st
     return corpus.select(id_col, *columns).join(F.broadcast(top), id_col).withColumn("total", total)
 
 
+def result_digest(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(total, digest)``: the number of hits, and 60 bits that depend on the hits and their order by id.
+
+    Every hit's place is hashed with its id, and the hashes are combined by exclusive or: partial results, one row.
+    """
+    placed = numbered(hits.select(id_col), [id_col], "k")
+    each = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("k") + 1, F.col(id_col))), 1, 15), 16, 10).cast("long")
+    return placed.agg(F.count("*").alias("total"), F.bit_xor(each).alias("digest"))
+
+
 def metadata_filter(corpus: DataFrame, years: list[int] = (), types: list[str] = (), sources: list[str] = (), id_col: str = "doc_id") -> DataFrame:
     """Ids of the documents of the given years, types and sources; an empty choice means any."""
     out = corpus

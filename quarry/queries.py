@@ -176,7 +176,7 @@ def text_functions(spark, sf):
     return docs.select("doc_id", F.sha2("text", 256).alias("digest"), F.length(tx.clean_text(F.col("text"))).alias("clean_chars"), tx.queue_order(F.col("text")).alias("queue_order"))
 
 
-@register("f3_word_counts")
+@register("f3_word_counts", r"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{Nd}\p{M}\p{Pc}''-]*[\p{L}\p{Nd}\p{M}\p{Pc}][\p{L}\p{Nd}\p{M}\p{Pc}''-]*')) AS words FROM documents""")
 def word_counts(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.coalesce(tx.word_count(F.col("text")), F.lit(0)).alias("words"))
 

@@ -61,6 +61,14 @@ def publish(documents: DataFrame, path: str) -> DataFrame:
     return corpus
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file of that content, wherever the path points."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)
+    stream.write(data)
+    stream.close()
+
+
 def read_records(spark: SparkSession, path: str, magic: bytes) -> DataFrame:
     """A binary snapshot: ``magic``, then records of little-endian u64 id, u32 + source, u64 + title, u64 + text.
 

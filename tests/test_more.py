@@ -84,7 +84,7 @@ def test_batches_and_responses(spark):
 def test_site_parsers(spark):
     body = " ".join(["слово"] * 40)
     page = f"<html><head><title>Заголовок — Сайт</title></head><body><div class='menu'>menu</div><div class='post body'><p>{body}</p><div class='share'>share<br>it</div><p>end</p></div><div>after</div></body></html>"
-    rules = {"s": sites.Site(body=("body",), noise=("share",), suffixes=(" — Сайт",))}
+    rules = {"s": sites.Site(bodies=((sites.css("body"),),), noise=(sites.css("share"),), suffixes=(" — Сайт",))}
     df = spark.createDataFrame([("s", page), ("unknown", page), ("s", None)], "source string, html string")
     got = df.select(sites.parse_articles(F.col("source"), F.col("html"), rules).alias("p")).select("p.*").collect()
     assert got[0].title == "Заголовок" and got[0].text == f"{body}\n\nend" and got[0].parse_error is None
