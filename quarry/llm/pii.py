@@ -38,6 +38,8 @@ REMOVE, GENERALISE = 0.9, 0.75
 #: Exponent of the tempering; the larger, the sooner a single text is believed.
 EVIDENCE = 0.25
 BROADCAST_TERMS, BROADCAST_KEYS = 200_000, 1_000_000
+#: Characters of texts whose terms one task locates.
+SHARE = 4 << 20
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
 
@@ -131,6 +133,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove
     texts = table(some.select("version", "entities", "rest").dropDuplicates(["version"]).join(copies, "version"), "pii-texts")
     risky = table(disclosures(docs, rows, texts, text_col, generalise), "pii-risky")
     dirty = texts.join(risky.select("version").distinct(), "version", "left_semi").select("version", "rest")
+    # Finding positions costs far more than reading: shares of bounded length, however few bytes they are.
+    letters = texts.agg(F.sum(F.length("rest"))).first()[0] or 0
+    dirty = dirty.repartition(max(1, -(-letters // SHARE)))
     found = with_spans(dirty, "terms", "rest", TERM).select("version", F.explode("terms").alias("x"))
     hits = found.select("version", F.lower("x.value").alias("term"), F.struct("x.start", "x.end").alias("s")).join(risky, ["version", "term"])
     per_text = hits.groupBy("version").agg(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 256
+BLOCK = 64
 #: Characters of the pieces that a text is cut into.
 CHUNK = 64
 _NONE = "array<struct<start:int,end:int,value:string>>"
