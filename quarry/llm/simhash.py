@@ -51,6 +51,8 @@ SAMPLES, SAMPLE_SIZE = 20, 4
 BROADCAST_KEYS = 1_000_000
 #: Points that a cell may hold before it is divided, and so the largest block of pairs that one key makes.
 HOT_CELL = 2000
+#: Fingerprints whose cells one task makes.
+SPREAD = 20_000
 _LOW = 0x5555555555555555
 
 
@@ -165,7 +167,8 @@ def _hot(cells: DataFrame, on: list[str], most: int) -> DataFrame:
 
 def links(classes: DataFrame, n_classes: int, max_bits: int = MAX_BITS, hot: int = HOT_CELL) -> DataFrame:
     """Distinct pairs ``(u, v)``, u < v, of the different fingerprints ``classes(fp)`` within ``max_bits`` bits."""
-    cells = _cells(classes.select("fp"), max_bits)
+    # Spread first: a fingerprint becomes a hundred cells.
+    cells = _cells(classes.select("fp").repartition(max(1, -(-n_classes // SPREAD))), max_bits)
     big = _hot(cells, ["key"], hot) if n_classes > hot else None
     if big is None or big.isEmpty():
         return _pairs(cells, ["key"], max_bits).distinct()
