@@ -3,7 +3,9 @@
 ``decode_image`` reads Netpbm (P1 to P6, 1 to 8 bits) and uncompressed 8, 24 and 32 bit BMP into ``uint8`` arrays of
 shape (height, width, channels). ``area_resize`` averages source areas with an integral image, fractional borders
 included. ``difference_hash`` compares neighbours of the 9 by 8 grey reduction. ``tiles`` writes an image as NPY
-tiles. All are exact in integers up to the last division, so equal bytes give equal results on any machine.
+tiles and ``join_tiles`` reads them back. ``text_media_digest`` takes a text through all of it: its bytes are the
+samples of a PPM, which is decoded and stored as NPY tiles one after another; what is read back from them is the
+payload and the image whose difference hashes, of the whole and of each tile, are the feature. All are exact in integers up to the last division, so equal bytes give equal results on any machine.
 
 Defined results: a null payload is the empty one; an empty payload is padded to one row; undecodable media give null
 columns in ``describe``; repeated rows and null ids are handled row by row; an empty table gives an empty result;
@@ -27,6 +29,8 @@ from .common import arrow_map, field, utf8
 
 #: A row of 64 RGB pixels: the unit that payloads are padded to.
 ROW_BYTES, WIDTH, CHANNELS = 192, 64, 3
+#: Pixels of a tile's sides.
+TILE = 64
 #: Rows of pixels that the resize adds up at once; bounds the integral image of very tall images.
 BAND = 4096
 _HEADER = re.compile(rb"(?:\s+|#[^\n\r]*[\n\r])*(\d+)")
@@ -161,12 +165,37 @@ def npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def tiles(image: np.ndarray, tile: int = 64) -> list[tuple[int, int, bytes]]:
+def tiles(image: np.ndarray, tile: int = TILE) -> list[tuple[int, int, bytes]]:
     """``(row, column, NPY bytes)`` of each tile; tiles at the right and lower border may be smaller."""
     h, w, _ = image.shape
     return [(y // tile, x // tile, npy(image[y : y + tile, x : x + tile])) for y in range(0, h, tile) for x in range(0, w, tile)]
 
 
+def store_tiles(image: np.ndarray, tile: int = TILE) -> bytes:
+    """All tiles as NPY files, one after another."""
+    return b"".join(raw for _, _, raw in tiles(image, tile))
+
+
+def read_tiles(stored: bytes) -> list[np.ndarray]:
+    """The arrays of NPY files that stand one after another."""
+    data, out = io.BytesIO(stored), []
+    while data.tell() < len(stored):
+        out.append(np.load(data, allow_pickle=False))
+    return out
+
+
+def join_tiles(parts: list[np.ndarray], width: int) -> np.ndarray:
+    """The image of that width whose tiles these are, row by row."""
+    rows, row, at = [], [], 0
+    for part in parts:
+        row.append(part)
+        at += part.shape[1]
+        if at >= width:
+            rows.append(row[0] if len(row) == 1 else np.hstack(row))
+            row, at = [], 0
+    return rows[0] if len(rows) == 1 else np.vstack(rows)
+
+
 def pack_payload(payload: bytes) -> tuple[bytes, bytes]:
     """The payload padded with blanks to a positive multiple of 192, and the PPM that stores it."""
     padded = payload + b" " * (-len(payload) % ROW_BYTES if payload else ROW_BYTES)
@@ -194,7 +223,7 @@ def describe(media: DataFrame, id_col: str, media_col: str, thumb: int = 32) ->
     return arrow_map(media.select(id_col, media_col), fn, T.StructType([field(media, id_col), *(T.StructField(*x) for x in names)]), at_once=64)
 
 
-def tile_rows(media: DataFrame, id_col: str, media_col: str, tile: int = 64) -> DataFrame:
+def tile_rows(media: DataFrame, id_col: str, media_col: str, tile: int = TILE) -> DataFrame:
     """One row per tile: ``(id, tile_row, tile_col, npy, dhash)``, to be written by any sink. Undecodable media give none."""
 
     def run(batches):
@@ -228,15 +257,22 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def text_media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each whole text as a PPM, decode the stored bytes again and describe what was read back."""
+    """``(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)`` of every text.
+
+    The stored form is the PPM's image as NPY tiles; payload and feature come from what is read back from it. The
+    feature is ``dhash:`` and the whole image's hash, then the hash of each tile, joined by colons.
+    """
 
     def fn(batch: pa.RecordBatch) -> list:
         rows = []
         for data in utf8(batch.column(1)):
-            stored = pack_payload(data)[1]
-            image = decode_image(stored)
+            stored = store_tiles(decode_image(pack_payload(data)[1]))
+            parts = read_tiles(stored)
+            image = join_tiles(parts, WIDTH)
             back = image.tobytes()
-            rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), f"dhash:{difference_hash(image)}"))
+            whole = difference_hash(image)
+            marks = [whole] if len(parts) == 1 else [difference_hash(t) for t in parts]
+            rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), ":".join(["dhash", whole, *marks])))
         return [batch.column(0), *([r[k] for r in rows] for k in range(7))]
 
     names = [

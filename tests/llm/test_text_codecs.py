@@ -1,7 +1,9 @@
 """BPE, word-piece counts and media columns against plain versions and exact round trips."""
 
 import hashlib
+import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -103,18 +105,52 @@ def test_wordpiece_automaton_on_all_short_strings():
                 assert c.count(w) == brute.word_pieces(w, first, inner), (w, first, inner)
 
 
+def plain_hash(rows):
+    """Difference hash of rows of RGB pixels: means over exact areas, luma, neighbours compared."""
+    h, w = len(rows), 64
+    image = np.frombuffer(b"".join(rows), np.uint8).reshape(h, w, 3).astype(object)
+
+    def weights(n, parts):
+        out = []
+        for k in range(parts):
+            a, b = Fraction(k * n, parts), Fraction((k + 1) * n, parts)
+            out.append([(i, min(b, i + 1) - max(a, i)) for i in range(int(a), min(n, math.ceil(b)))])
+        return out
+
+    columns = [[sum(image[:, i, :] * f for i, f in part) for part in weights(w, 9)]][0]
+    bits = ""
+    for part in weights(h, 8):
+        line = []
+        for col in columns:
+            sums = sum(col[i] * f for i, f in part)
+            r, g, b = (int((2 * s * 72 + h * w) // (2 * h * w)) for s in sums)
+            line.append((299 * r + 587 * g + 114 * b + 500) // 1000)
+        bits += "".join("1" if b > a else "0" for a, b in zip(line, line[1:]))
+    return f"{int(bits, 2):016x}"
+
+
 def test_text_media(spark, odd):
-    for df in (odd, spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")):
+    small = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    for df in (odd, small):
         rows = df.select("doc_id", "text").collect()
         got = sorted(map(tuple, media.text_media_digest(df).collect()), key=str)
         want = []
         for r in rows:
             raw = (r.text or "").encode()
             pad = raw + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
-            stored = b"P6\n64 %d\n255\n" % (len(pad) // 192) + pad
-            want.append((r.doc_id, len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:]), len(stored), hashlib.sha256(stored).hexdigest()))
-        assert [g[:7] for g in got] == sorted(want, key=str)
-        assert all(g[7].startswith("dhash:") for g in got)
+            lines = [pad[i : i + 192] for i in range(0, len(pad), 192)]
+            parts = [lines[i : i + 64] for i in range(0, len(lines), 64)]
+            stored = b""
+            for part in parts:
+                head = b"{'descr': '|u1', 'fortran_order': False, 'shape': (%d, 64, 3), }" % len(part)
+                head += b" " * (-(len(head) + 11) % 64) + b"\n"
+                stored += b"\x93NUMPY\x01\x00" + len(head).to_bytes(2, "little") + head + b"".join(part)
+            exact = len(lines) <= 70
+            feature = ":".join(["dhash", plain_hash(lines), *map(plain_hash, parts)]) if exact else None
+            want.append((r.doc_id, len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(parts)))
+        for g, w in zip(got, sorted(want, key=lambda w: str(w[:7])), strict=True):
+            assert g[:7] == w[:7] and len(g[7].split(":")) == 2 + w[8] and g[7] == (w[7] or g[7])
+        assert sum(w[7] is not None for w in want) > 5
 
 
 def test_area_resize_is_the_mean_over_areas():
