@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import ann, mixing, quality, urls
 from quarry.llm import queries as q
+from quarry.llm.common import table
 
 DATA = "/root/testdata/sf0.01"
 
@@ -43,12 +45,26 @@ def test_recall_and_exact_scores(spark, block):
         assert all(abs(math.sqrt(((at[i] - at[k]) ** 2).sum()) - s) < 1e-12 for i, s in found)
 
 
+def test_few_vectors_are_verified():
+    rng = np.random.default_rng(1)
+    vectors = rng.standard_normal((8000, 64))
+    index = ann.Index(np.arange(8000), vectors)
+    found, verified = 0, 0
+    for i in range(0, 8000, 400):
+        ids, distances, n = index.search(vectors[i], 10, i)
+        want = brute_nearest(np.arange(8000), vectors, [i])[i]
+        found, verified = found + len(set(ids) & {j for j, _ in want}), verified + n
+    assert found >= 0.9 * 200 and verified < 0.15 * 20 * 8000
+    d = ann.directions(20, 7)
+    assert d.shape == (20, 7) and np.allclose(np.linalg.norm(d, axis=1), 1) and np.allclose(d[:7] @ d[:7].T, np.eye(7)) and ann.directions(5, 9).shape == (5, 9)
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0]), (8, [5.0, 0.0]), (None, [1.0, 0.0]), (9, [1.0]), (10, [])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0]), (8, [5.0, 0.0]), (8, [5.0, 0.0]), (0, [3.0, 0.0]), (None, [1.0, 0.0]), (9, [1.0]), (10, [])]
     df = spark.createDataFrame([(a, b, 0, 0.0) for a, b in rows], "vec_id long, embedding array<double>, rank int, score double")
     got = [tuple(r) for r in ann.nearest(df, df.where("vec_id in (0, 2, 9)")).orderBy("query_id", "rank").collect()]
-    assert [g[:3] for g in got] == [(0, 1, 7), (0, 2, 8), (0, 3, 1)] and got[0][3] == 0.0
+    assert [g[:3] for g in got] == [(0, 1, 7), (0, 2, 8), (0, 3, 1), (0, 4, 8)] and got[0][3] == 0.0 and got[3][3] == 4.0
     assert ann.nearest(df.where("false"), df).collect() == [] and ann.nearest(df, df.where("false")).collect() == []
 
 
@@ -71,36 +87,108 @@ def test_url_parts_and_rules():
         assert (r and r[0]) == verdict, url
 
 
-def test_url_verdicts(spark):
-    pages = spark.read.parquet(f"{DATA}/pages.parquet")
-    model = urls.train(pages)
-    got = urls.judge(pages, model).collect()
-    assert len(got) == pages.count()
-    for r, p in zip(sorted(got, key=lambda r: r.page_id), pages.orderBy("page_id").collect()):
-        rule = urls.match_rule(*urls.split_url(p.url))
-        assert r.rule == (rule and rule[1] + rule[2])
-        assert r.verdict == (rule[0] if rule else "allow" if r.margin >= model.threshold else "block")
-    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
-    odd = spark.createDataFrame([(1, None, "x"), (1, "", "y"), (None, "http://a.org/fr/", "z")], "page_id long, url string, host string")
-    assert sorted((str(r.page_id), r.host, r.path, r.rule) for r in urls.judge(odd, model).collect()) == [("1", "", "", None), ("1", "", "", None), ("None", "a.org", "/fr/", "org/fr/")]
-    assert urls.judge(odd.where("false"), urls.train(odd.where("false"))).collect() == []
+class PlainMarkov:
+    """Counts of symbols after contexts; probabilities by recursion over the context's length."""
+
+    def __init__(self, weighted, order):
+        self.order, self.after = order, {}
+        for text, n in weighted:
+            for i, ch in enumerate(text):
+                for k in range(min(i, order) + 1):
+                    seen = self.after.setdefault(text[i - k : i], {})
+                    seen[ch] = seen.get(ch, 0) + n
+
+    def prob(self, context, ch):
+        below = 1 / 256 if not context else self.prob(context[1:], ch)
+        seen = self.after.get(context)
+        return below if not seen else (seen.get(ch, 0) + len(seen) * below) / (sum(seen.values()) + len(seen))
+
+    def log_likelihood(self, text):
+        return math.fsum(math.log(self.prob(text[max(0, i - self.order) : i], ch)) for i, ch in enumerate(text))
+
+
+def plain_rule(url):
+    """(host, path, rule, verdict) by plain splitting."""
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        end = min([rest.find(c) for c in "?#" if c in rest] or [len(rest)])
+        before = rest[:end]
+        host, slash, path = before.partition("/")
+        path = slash + path
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    best = None
+    for verdict, h, p in (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")):
+        if ("." + host).endswith("." + h) and path[: len(p)] == p and (best is None or len(h + p) > len(best[0])):
+            best = (h + p, verdict)
+    return host, path, *(best or (None, None))
+
+
+def plain_judge(rows):
+    """page_id, url -> (host, path, rule, verdict, margin), with models of its own."""
+    looked = [(i, *plain_rule(u), "" if u is None or "://" not in u else "^" + re.sub("[0-9]", "0", plain_rule(u)[0] + plain_rule(u)[1])) for i, u in rows]
+    forms = {}
+    for _, _, _, _, kind, form in looked:
+        if kind and form:
+            forms[kind, form] = forms.get((kind, form), 0) + 1
+    return looked, forms
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "no scheme"), (-4, "http://a.org/fr/"), (-4, "http://a.org/fr/"), (-5, "x://ÉÜ.shop/" + "ab" * 20_000), (None, "http://casino.example.org/x")], "page_id long, url string")
+    pages = pages.unionByName(odd).withColumns({"host": F.lit("x"), "form": F.lit("y"), "n": F.lit(1)})
+    looked = table(urls.look(pages), "looked")
+    model = urls.train(looked)
+    return pages.select("page_id", "url").collect(), looked, model, urls.judge(looked, model).collect()
+
+
+def test_url_verdicts_against_plain_models(spark, judged):
+    rows, looked, model, got = judged
+    plain, forms = plain_judge([tuple(r) for r in rows])
+    aside = {r.form for r in looked.where(F.pmod(F.xxhash64("form", F.lit("aside")), F.lit(urls.ASIDE)) == 0).select("form").collect()}
+    markov = {k: PlainMarkov([(f, n) for (kind, f), n in forms.items() if kind == k and f not in aside], urls.ORDER) for k in ("allow", "block")}
+
+    def margin(form):
+        return (markov["allow"].log_likelihood(form) - markov["block"].log_likelihood(form)) / len(form) if form else 0.0
+
+    held = [(margin(f), k, n) for (k, f), n in forms.items() if f in aside]
+
+    def right(cut):
+        return sum(sum(n for m, kind, n in held if kind == k and (m >= cut) == (k == "allow")) / sum(n for _, kind, n in held if kind == k) for k in ("allow", "block"))
+
+    assert right(model.threshold) >= max(right(math.floor(m / urls.BIN) * urls.BIN) for m, _, _ in held) - 1e-9
+    want = []
+    for i, host, path, rule, kind, form in plain:
+        m = None if kind else margin(form)
+        want.append((i, host, path, rule, kind or ("allow" if m >= model.threshold else "block"), m))
+    order = lambda r: (str(r[0]), r[1])
+    assert len(got) == len(want)
+    for g, w in zip(sorted(map(tuple, got), key=order), sorted(want, key=order)):
+        assert g[:5] == w[:5] and (g[5] is None) == (w[5] is None) and (w[5] is None or abs(g[5] - w[5]) < 1e-9), (g, w)
+
+
+def test_url_models_on_urls_put_aside(spark, judged):
+    _, looked, model, _ = judged
+    aside = looked.where(F.pmod(F.xxhash64("form", F.lit("aside")), F.lit(urls.ASIDE)) == 0).where("kind is not null and form <> ''")
+    found = aside.join(urls.margins(aside, model), "form").collect()
+    right = {k: [(r.margin >= model.threshold) == (k == "allow") for r in found if r.kind == k] for k in urls.KINDS}
+    assert all(len(v) > 3 and np.mean(v) > 0.8 for v in right.values())
 
 
-def test_url_model_on_urls_it_has_not_seen(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    model = urls.train(pages.where("page_id % 2 = 0"))
-    right = [(r.margin >= model.threshold) == (urls.match_rule(r.host, r.path)[0] == "allow") for r in urls.judge(pages.where("page_id % 2 = 1"), model).where("rule is not null").collect()]
-    assert len(right) > 300 and np.mean(right) > 0.95
-    assert urls.fit(["^a.org/x"], ["^b.com/y"]).verdict("^adult-x.shop/") == "block"
+def test_url_tables_without_rows_or_decisions(spark):
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert urls.filter_urls(none).collect() == []
+    odd = spark.createDataFrame([(1, None), (2, "http://a.shop/x")], "page_id long, url string")
+    assert sorted((r.page_id, r.rule, r.verdict, r.margin) for r in urls.filter_urls(odd).collect()) == [(1, None, "allow", 0.0), (2, None, "allow", 0.0)]
 
 
-def test_markov_is_a_distribution():
-    m = urls.Markov(3)
-    m.learn(["abcab", "abd", "xyz"])
-    m.freeze()
-    for context in ("", "ab", "abc", "zzz"):
-        total = sum(math.exp(m.log_prob(context + chr(c), len(context))) for c in range(256))
-        assert abs(total - 1) < 1e-9
+def test_url_cut():
+    assert urls.best_cut([]) == urls.best_cut([(3, 1.0, 0.0)]) == 0.0
+    assert urls.best_cut([(-5, 0, 4.0), (4, 2.0, 0)], 1.0) == 0.0
+    assert urls.best_cut([(2, 0, 4.0), (6, 2.0, 0)], 1.0) == 4.5
+    assert urls.best_cut([(2, 1.0, 0), (6, 0, 2.0)], 1.0) == 2.0
 
 
 def test_quality_on_held_out_rows(spark):
@@ -217,17 +305,44 @@ def test_mixing_against_plain_raking(spark):
     targets = {"source": {"a": 0.2, "b": 0.5}, "lang": 0.5}
     got = mixing.mix(docs, targets, 0.4).collect()
     assert len(got) == len(rows)
-    w, p, total = plain_mix([(r.source, r.lang, r.topic, r.n_tokens) for r in got], targets, 0.4, mixing.ROUNDS)
+    w, p, total = plain_mix([(r.source, r.lang, r.topic, r.n_tokens) for r in got], targets, 0.4, 200)
     for r in got:
         key = (r.source, r.lang, r.topic)
         assert abs(r.p - p[key]) < 1e-9 and r.kept == (plain_draw(r.doc_id) < r.p)
     assert abs(sum(r.p * r.n_tokens for r in got) / total - 0.4) < 1e-9
+    kept = sum(r.p * r.n_tokens for r in got)
+    for axis in mixing.AXES:
+        for k in {r[axis] for r in got}:
+            mine = [r for r in got if r[axis] == k]
+            assert abs(sum(w[c] for c in w if c[mixing.AXES.index(axis)] == k) / sum(w.values()) - mine[0][f"target_{axis}"]) < 1e-8
+            assert abs(sum(r.p * r.n_tokens for r in mine) / kept - mine[0][f"expected_{axis}"]) < 1e-9
     drawn = mixing.sample(docs, targets, 0.4)
     assert drawn.columns == docs.columns
     assert sorted(str(r.doc_id) for r in drawn.collect()) == sorted(str(r.doc_id) for r in got if r.kept)
     assert mixing.mix(docs.where("false"), targets, 0.4).collect() == [] and mixing.sample(docs.where("false"), targets).collect() == []
 
 
+def test_mixing_targets_that_contradict_each_other(spark):
+    docs = spark.createDataFrame([(1, "a", "en", "x y"), (2, "b", "de", "x y")], "doc_id long, source string, lang string, text string")
+    with pytest.raises(ValueError, match="together"):
+        mixing.rake(mixing.tokens(docs, F.col("source"), F.col("lang")), {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}}, 12)
+
+
+def test_mixing_factors_as_tables(spark):
+    rng = random.Random(3)
+    rows = [(f"s{rng.randrange(40)}", rng.choice(["en", "de"]), rng.choice(["a", "b"]), rng.randrange(1, 90)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long")
+    targets = {"source": 0.5, "lang": {"en": 0.3, "de": 0.7}}
+    w = {k: {(r.source, r.lang, r.topic): r.w for r in mixing.rake(df, targets, few=k).collect()} for k in (200, 10, 1)}
+    assert all(abs(w[k][c] - w[200][c]) < 1e-12 for k in (10, 1) for c in w[200]) and abs(sum(w[200].values()) - 1) < 1e-9
+
+
+def test_mixing_very_long_and_equal_texts(spark):
+    docs = spark.createDataFrame([(1, "a", "en", "w " * 500_000), (2, "a", "en", "w " * 500_000), (2, "a", "en", "w " * 500_000), (3, "b", "en", "\t")], "doc_id long, source string, lang string, text string")
+    got = mixing.mix(docs, {}, 0.4).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 500_000, 500_000, 500_000] and all(abs(r.p - 0.4) < 1e-12 for r in got)
+
+
 def plain_draw(doc_id, seed=7):
     import hashlib
 
