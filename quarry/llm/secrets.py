@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .spans import keep, no_spans, rendered, tagged, with_spans
+from .spans import keep, rendered, tagged, with_spans
 
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)"
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
@@ -67,8 +67,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
 def ownership(candidates: DataFrame) -> DataFrame:
     """``(hash, repositories, owners)`` over ``candidates(hash, repository, owner)``: distinct holders of each value."""
     triples = candidates.groupBy("hash", "repository", "owner").agg(F.lit(1).alias("one"))
-    by_repository = triples.groupBy("hash", "repository").agg(F.collect_set(F.coalesce("owner", F.lit("\u0000"))).alias("o"))
-    repositories = by_repository.groupBy("hash").agg(F.count("*").alias("repositories"))
+    repositories = triples.groupBy("hash", "repository").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("repositories"))
     owners = triples.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("owners"))
     return repositories.join(owners, "hash")
 
