@@ -137,6 +137,32 @@ def refresh_due(runs: DataFrame, now: int, ok_after: int, failed_after: int) ->
     return last.withColumn("due_at", at).withColumn("is_due", F.col("due_at") <= now)
 
 
+def sitemap_requests(wanted: DataFrame, cache: DataFrame, now: int, ttl: int, recheck: int) -> DataFrame:
+    """``wanted(url, lastmod, is_root)`` with ``action`` (``use`` the stored copy or ``fetch``), ``etag`` and ``last_modified``.
+
+    ``cache(url, sha256, stored_sha256, checked_at, lastmod, hinted, etag, last_modified)`` has the stored copies; a copy
+    whose content has another digest is none. A copy is used within ``ttl``, or within the longer ``recheck`` if its
+    index names the same time of change; another time makes it stale at once. Roots are always asked for. What is
+    fetched is asked for under the stored validators, so that 304 can answer.
+    """
+    c = cache.where(F.col("sha256") == F.col("stored_sha256")).select(F.col("url").alias("_url"), "checked_at", F.col("lastmod").alias("_lastmod"), "hinted", "etag", "last_modified")
+    same = F.col("lastmod").eqNullSafe(F.col("_lastmod"))
+    life = F.when(F.col("lastmod").isNotNull() & same & F.col("hinted"), recheck).otherwise(ttl)
+    age = F.lit(now) - F.col("checked_at")
+    fresh = ~F.col("is_root") & (ttl > 0) & (age >= 0) & (age < life) & (same | ~F.col("hinted"))
+    joined = wanted.join(c, F.col("url") == F.col("_url"), "left")
+    return joined.select(*wanted.columns, F.when(F.coalesce(fresh, F.lit(False)), "use").otherwise("fetch").alias("action"), "etag", "last_modified")
+
+
+def sitemap_answers(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """``requests`` of ``sitemap_requests`` that were fetched, with ``outcome`` of ``answers(url, status, valid)``: ``renewed``,
+    ``not_modified`` (304 to a validator), or ``failed``, where the stored copy stays as it is."""
+    a = answers.select(F.col("url").alias("_url"), "status", "valid")
+    asked = F.col("etag").isNotNull() | F.col("last_modified").isNotNull()
+    outcome = F.when((F.col("status") == 304) & asked, "not_modified").when((F.col("status") == 200) & F.col("valid"), "renewed").otherwise("failed")
+    return requests.where("action = 'fetch'").join(a, F.col("url") == F.col("_url"), "left").withColumn("outcome", outcome).drop("_url", "status", "valid")
+
+
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls(host, path)`` with ``allowed``: the longest rule ``(host, prefix, allow)`` of the host that the path begins
     with decides, allowing rules first among equals; without one, allowed."""

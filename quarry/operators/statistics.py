@@ -67,6 +67,27 @@ def reduction(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "group").withColumn("reduction", F.round(100.0 * (F.col("surface") - F.col("lemma")) / F.col("surface"), 6))
 
 
+def median_of_repeats(timings: DataFrame, keys: list[str], seconds: str = "seconds") -> DataFrame:
+    """``(keys, runs, median_seconds)`` of repeated timings, exact."""
+    return timings.groupBy(*keys).agg(F.count("*").alias("runs"), F.median(seconds).alias("median_seconds"))
+
+
+def frequency_report(statistics: DataFrame, top: DataFrame) -> DataFrame:
+    """``(place, line)`` of a Markdown report: a table of groups, then each group's most frequent terms in order.
+
+    ``statistics(group, tokens, vocabulary, hapax)`` and ``top(group, rank, term)``, as of a frequency count; both are
+    small, one row for each group or for its first ranks.
+    """
+    escaped = lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))
+    head = statistics.select(F.lit("group | tokens | vocabulary | hapax").alias("line")).distinct().withColumn("place", F.array(F.lit("0")))
+    rule = head.select(F.lit("--- | ---: | ---: | ---:").alias("line"), F.array(F.lit("1")).alias("place"))
+    rows = statistics.select(F.concat_ws(" | ", escaped(F.col("group")), "tokens", "vocabulary", "hapax").alias("line"), F.array(F.lit("2"), "group").alias("place"))
+    words = top.groupBy("group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ", ").alias("w"))
+    lists = words.select(F.concat(F.lit("**"), "group", F.lit("**: "), "w").alias("line"), F.array(F.lit("3"), "group").alias("place"))
+    every = head.select("place", "line").unionByName(rule).unionByName(rows).unionByName(lists)
+    return every.select(F.array_join("place", ":").alias("place"), F.concat(F.when(F.get("place", F.lit(0)) < "3", "| ").otherwise(""), "line", F.when(F.get("place", F.lit(0)) < "3", " |").otherwise("")).alias("line"))
+
+
 def context(tokens: DataFrame, hit: Column, width: int, id_col: str = "doc_id") -> DataFrame:
     """The tokens within ``width`` positions of every token for which ``hit`` holds, hits marked."""
     by = W.partitionBy(id_col, "field").orderBy("pos")

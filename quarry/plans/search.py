@@ -123,6 +123,17 @@ def result_digest(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return placed.agg(F.count("*").alias("total"), F.bit_xor(each).alias("digest"))
 
 
+def search_statistics(query: str, postings: DataFrame, universe: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(operand, postings, occurrences)``: what a Boolean query reads for each different word, and a row ``*`` with the
+    documents of the universe if the query holds for documents without any operand."""
+    tree, operands = parse(query, tokens_of)
+    words = list(dict.fromkeys(w for o in operands for w in o.words))
+    read = postings.where(F.col("term").isin(*words)).groupBy(F.col("term").alias("operand")).agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"))
+    if true_for_nothing(tree):
+        read = read.unionByName(universe.agg(F.lit("*").alias("operand"), F.count("*").alias("postings"), F.lit(0).cast("long").alias("occurrences")))
+    return read
+
+
 def metadata_filter(corpus: DataFrame, years: list[int] = (), types: list[str] = (), sources: list[str] = (), id_col: str = "doc_id") -> DataFrame:
     """Ids of the documents of the given years, types and sources; an empty choice means any."""
     out = corpus

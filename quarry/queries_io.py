@@ -12,11 +12,12 @@ from .functions import sites, web
 from .functions import text as tx
 from .operators import collection as co
 from .operators import index as ix
+from .operators import statistics as st
 from .plans import batch
 from .plans import search as se
-from .queries import _CANON, _FOLD, _URLS, CORPUS, LEMMAS, PAIRS, TOKENS, _has, corpus, dictionary, index_of, lemma_index_of, read, register
+from .queries import _CANON, _RANKED, _URLS, CORPUS, LEMMAS, NEGATIVE, PAIRS, POSTINGS, TOKENS, _has, _ranked, corpus, dictionary, index_of, lemma_index_of, read, register
 from .sources import corpus as sc
-from .sources.shared import numbered, remove_at_exit, shared_dir, ship
+from .sources.shared import remove_at_exit, shared_dir, ship, table
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -249,6 +250,25 @@ def positions(spark, sf):
     return t.select("term", "doc_id", F.col("field").cast("int").alias("field"), F.col("pos").cast("long").alias("pos"))
 
 
+@register("a15_median_timings", "SELECT event_type, user_id % 7 AS batch, count(*) AS runs, median(value) AS median_seconds FROM events GROUP BY ALL")
+def median_timings(spark, sf):
+    """The events' values as repeated timings."""
+    rows = read(spark, sf, "events").select("event_type", (F.col("user_id") % 7).alias("batch"), "value")
+    return st.median_of_repeats(rows, ["event_type", "batch"], "value")
+
+
+@register(
+    "a16_report",
+    f"""WITH {TOKENS}, {_RANKED}, s AS (SELECT "group", sum(frequency)::BIGINT AS t, count(*) AS v, count(*) FILTER (WHERE frequency = 1) AS h FROM ranked GROUP BY "group")
+SELECT '0' AS place, '| group | tokens | vocabulary | hapax |' AS line UNION ALL SELECT '1', '| --- | ---: | ---: | ---: |' UNION ALL SELECT '2:' || "group", '| ' || "group" || ' | ' || t || ' | ' || v || ' | ' || h || ' |' FROM s
+  UNION ALL SELECT '3:' || "group", '**' || "group" || '**: ' || string_agg(term, ', ' ORDER BY rank) FROM ranked WHERE rank <= 20 GROUP BY ("group")""",
+)
+def report(spark, sf):
+    """The frequency report as Markdown lines."""
+    ranked = table(_ranked(spark, sf), "ranked")
+    return st.frequency_report(ix.zipf_statistics(ranked), ranked.where("rank <= 20"))
+
+
 @register("l8_dictionary", f"SELECT key, array_to_string(list_sort(list(DISTINCT lemma)), '|') AS lemmas FROM (VALUES {', '.join(str(p) for p in PAIRS)}) v(key, lemma) GROUP BY key")
 def dictionary_query(spark, sf):
     return dictionary(spark).select("key", F.array_join("lemmas", "|").alias("lemmas"))
@@ -272,14 +292,22 @@ def digest(spark, sf):
     return se.result_digest(hits)
 
 
-_LINES = ["rewh", "thatin AND NOT orre", '"of the" AND hehely', "no AND", ""]
+@register("q13_search_statistics", f"""WITH {POSTINGS} SELECT term AS operand, count(*) AS postings, sum(tf)::BIGINT AS occurrences FROM postings WHERE term IN ('the', 'la', 'der', 'de', 'in', 'and') GROUP BY term
+  UNION ALL SELECT '*', count(*), 0 FROM documents""")
+def search_statistics(spark, sf):
+    """What the query with negations has to read."""
+    return se.search_statistics(NEGATIVE, index_of(spark, sf)[1], read(spark, sf, "documents").select("doc_id"))
+
+
+_LINES = ["rewh", "thatin AND NOT orre", '"of the" AND hehely', "no AND", "", "NOT (the OR la OR der OR de)"]
 
 
 @register(
     "q12_responses",
     f"""WITH {TOKENS}, a AS (SELECT DISTINCT doc_id, term FROM tokens), ph AS (SELECT DISTINCT t0.doc_id FROM tokens t0 JOIN tokens t1 ON t1.doc_id = t0.doc_id AND t1.field = t0.field AND t1.pos = t0.pos + 1 WHERE t0.term = 'of' AND t1.term = 'the'),
-  h AS (SELECT 0 AS k, doc_id FROM a WHERE term = 'rewh' UNION ALL SELECT 1, doc_id FROM a WHERE term = 'thatin' AND NOT {_has("orre")} UNION ALL SELECT 2, doc_id FROM a WHERE term = 'hehely' AND doc_id IN (SELECT doc_id FROM ph)),
-  n AS (SELECT *, count(*) OVER (PARTITION BY k) AS total, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS r FROM h), lines AS (SELECT * FROM (VALUES (0, 'rewh'), (1, 'thatin AND NOT orre'), (2, '\\"of the\\" AND hehely')) v(k, query)),
+  h AS (SELECT 0 AS k, doc_id FROM a WHERE term = 'rewh' UNION ALL SELECT 1, doc_id FROM a WHERE term = 'thatin' AND NOT {_has("orre")} UNION ALL SELECT 2, doc_id FROM a WHERE term = 'hehely' AND doc_id IN (SELECT doc_id FROM ph)
+    UNION ALL SELECT 5, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM a WHERE term IN ('the', 'la', 'der', 'de'))),
+  n AS (SELECT *, count(*) OVER (PARTITION BY k) AS total, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS r FROM h), lines AS (SELECT * FROM (VALUES (0, 'rewh'), (1, 'thatin AND NOT orre'), (2, '\\"of the\\" AND hehely'), (5, 'NOT (the OR la OR der OR de)')) v(k, query)),
   out AS (SELECT k, max(total) AS total, string_agg('{{"id": ' || doc_id || ', "title": ' || to_json(title) || '}}', ', ' ORDER BY doc_id) AS results FROM n JOIN corpus USING (doc_id) WHERE r <= 3 GROUP BY k)
 SELECT k AS line, '{{"query": "' || query || '", "total": ' || coalesce(total, 0) || ', "results": [' || coalesce(results, '') || ']}}' AS response FROM lines LEFT JOIN out USING (k)
 UNION ALL SELECT 3, '{{"query": "no AND", "error": "an operand is missing before end"}}' UNION ALL SELECT 4, '{{"query": "", "error": "the query is empty"}}'""",
@@ -317,3 +345,28 @@ def refresh_inventory(spark, sf):
     path = f"{scratch(spark, 'inventory')}/v2"
     merged = co.merge_inventories(p.where("page_id % 3 <> 0"), p.where("page_id % 2 = 0 or page_id % 3 = 0"))
     return sc.publish(merged, path).select("doc_id", "url")
+
+
+_SITEMAP_CACHE = """w AS (SELECT page_id, url || '#' || page_id AS url, CASE page_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'monday' ELSE 'tuesday' END AS lastmod, page_id % 11 = 0 AS is_root FROM pages),
+  c AS (SELECT page_id, url || '#' || page_id AS url, page_id % 13 <> 0 AS sound, (page_id * 37) % 500 AS checked_at, CASE page_id % 4 WHEN 0 THEN NULL ELSE 'monday' END AS lastmod, page_id % 5 <> 0 AS hinted, CASE WHEN page_id % 2 = 0 THEN 'e' || page_id END AS etag FROM pages WHERE page_id % 7 <> 0),
+  r AS (SELECT w.*, etag, CASE WHEN sound AND NOT is_root AND 400 - checked_at >= 0 AND (w.lastmod IS NOT DISTINCT FROM c.lastmod OR NOT hinted)
+    AND 400 - checked_at < CASE WHEN w.lastmod IS NOT NULL AND w.lastmod = c.lastmod AND hinted THEN 300 ELSE 100 END THEN 'use' ELSE 'fetch' END AS action FROM w LEFT JOIN c ON c.url = w.url AND sound)"""
+
+
+@register(
+    "c26_sitemap_cache",
+    f"""WITH {_SITEMAP_CACHE} SELECT page_id, action, CASE WHEN action = 'use' THEN NULL WHEN page_id % 3 = 0 AND etag IS NOT NULL THEN 'not_modified' WHEN page_id % 3 = 1 AND page_id % 2 = 0 THEN 'renewed' ELSE 'failed' END AS outcome FROM r""",
+)
+def sitemap_cache(spark, sf):
+    """Which maps to fetch again, under which validator, and what came of it; times, digests and answers are made from the id."""
+    i = F.col("page_id")
+    p = read(spark, sf, "pages").select(F.concat_ws("#", "url", i.cast("string")).alias("url"), "page_id")
+    wanted = p.select("page_id", "url", F.when(i % 3 == 1, "monday").when(i % 3 == 2, "tuesday").alias("lastmod"), (i % 11 == 0).alias("is_root"))
+    cache = p.where(i % 7 != 0).select(
+        "url", F.lit("a").alias("sha256"), F.when(i % 13 != 0, "a").otherwise("b").alias("stored_sha256"), (i * 37 % 500).alias("checked_at"), F.when(i % 4 != 0, "monday").alias("lastmod"),
+        (i % 5 != 0).alias("hinted"), F.when(i % 2 == 0, F.concat(F.lit("e"), i)).alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+    )
+    asked = co.sitemap_requests(wanted, cache, 400, 100, 300)
+    answers = p.select("url", F.when(i % 3 == 0, 304).when(i % 3 == 1, 200).otherwise(503).alias("status"), (i % 2 == 0).alias("valid"))
+    done = co.sitemap_answers(asked, answers).select("page_id", "action", "outcome")
+    return asked.where("action = 'use'").select("page_id", "action", F.lit(None).cast("string").alias("outcome")).unionByName(done)
