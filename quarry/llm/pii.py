@@ -91,8 +91,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _words(text: Column) -> Column:
-    """The different terms of a text."""
-    return F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))).alias("term")
+    """The different terms of a text; null for none, as an inner explosion would search the text twice, once to filter."""
+    return F.explode_outer(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))).alias("term")
 
 
 def disclosures(docs: DataFrame, rows: DataFrame, texts: DataFrame, text_col: str, generalise: float = GENERALISE) -> DataFrame:
@@ -105,9 +105,9 @@ def disclosures(docs: DataFrame, rows: DataFrame, texts: DataFrame, text_col: st
     held = texts.select("version", "copies", F.explode("entities").alias("entity"))
     stats = held.groupBy("entity").agg(F.bit_xor("version").alias("a"), F.bit_xor(F.xxhash64("version")).alias("b"), F.sum("copies").alias("n_c"))
     members = held.join(stats, "entity").select("version", "a", "b", "n_c").distinct().where(F.col("n_c") < n)
-    words = table(texts.select("version", "copies", _words(F.col("rest"))), "pii-words")
+    words = table(texts.select("version", "copies", _words(F.col("rest"))).where("term is not null"), "pii-words")
     terms = table(words.select("term").distinct(), "terms")
-    every = docs.select(_words(F.col(text_col)))
+    every = docs.select(_words(F.col(text_col))).where("term is not null")
     if terms.count() <= BROADCAST_TERMS:
         n_t = every.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
@@ -136,7 +136,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove
     # Finding positions costs far more than reading: shares of bounded length, however few bytes they are.
     letters = texts.agg(F.sum(F.length("rest"))).first()[0] or 0
     dirty = dirty.repartition(max(1, -(-letters // SHARE)))
-    found = with_spans(dirty, "terms", "rest", TERM).select("version", F.explode("terms").alias("x"))
+    # Outer, as the filter of an inner explosion would be pushed into the columns before and evaluate them at each other's elements.
+    found = with_spans(dirty, "terms", "rest", TERM).select("version", F.explode_outer("terms").alias("x")).where("x is not null")
     hits = found.select("version", F.lower("x.value").alias("term"), F.struct("x.start", "x.end").alias("s")).join(risky, ["version", "term"])
     per_text = hits.groupBy("version").agg(
         F.array_sort(F.collect_list(F.when(F.col("share") >= remove, F.col("s")))).alias("remove"), F.array_sort(F.collect_list(F.when(F.col("share") < remove, F.col("s")))).alias("generalise")
@@ -170,7 +171,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spans = F.array_sort(F.concat(*(ordered(k, i) for i, k in enumerate(KINDS))))
     spans = disjoint(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["less"]).alias("end"), s["kind"].alias("kind"))))
     key = [F.col(id_col).alias("__q_id"), F.col("version").alias("__q_v")]
-    dirty = table(found.select(*key, spans.alias("__q_spans")).where(F.size("__q_spans") > 0).groupBy("__q_id", "__q_v").agg(F.first("__q_spans").alias("__q_spans")), "pii-spans")
+    dirty = table(found.select(*key, spans.alias("__q_spans"), F.greatest(*(F.size(k) for k in KINDS)).alias("__q_n")).where("__q_n > 0").groupBy("__q_id", "__q_v").agg(F.first("__q_spans").alias("__q_spans")), "pii-spans")
     text = F.col(text_col)
     df = docs.withColumn("__q_version", F.xxhash64(F.coalesce(text, F.lit(""))))
     same = F.col(id_col).eqNullSafe(F.col("__q_id")) & (F.col("__q_version") == F.col("__q_v"))
