@@ -62,7 +62,8 @@ def tokens(corpus: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...] =
     """``(id, field, pos, term, *keep)``: one row per token; field is the index in ``fields``."""
     texts = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("field"), F.col(f).alias("t")) for i, f in enumerate(fields)))
     each = corpus.select(id_col, *keep, F.explode(texts).alias("f")).select(id_col, *keep, F.col("f.field").alias("field"), raw_tokens(F.col("f.t")).alias("a"))
-    found = each.select(id_col, *keep, "field", F.posexplode("a").alias("pos", "raw"))
+    # Outer, as an inner explosion would bring a filter that tokenizes the text once more.
+    found = each.select(id_col, *keep, "field", F.posexplode_outer("a").alias("pos", "raw")).where("raw is not null")
     return found.select(id_col, "field", "pos", normalise(F.col("raw")).alias("term"), *keep)
 
 
@@ -75,7 +76,7 @@ def token_spans(corpus: DataFrame, id_col: str = "doc_id", fields: tuple[str, ..
     texts = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("field"), F.col(f).alias("t")) for i, f in enumerate(fields)))
     each = corpus.select(id_col, F.explode(texts).alias("f")).select(id_col, F.col("f.field").alias("field"), F.col("f.t").alias("t"))
     pieces = F.arrays_zip(raw_tokens(F.col("t")).alias("raw"), F.split("t", TOKEN, -1).alias("gap"))
-    rows = each.select(id_col, "field", F.posexplode(pieces).alias("pos", "p")).select(id_col, "field", "pos", F.col("p.raw").alias("raw"), F.octet_length("p.gap").alias("gap")).where("raw is not null")
+    rows = each.select(id_col, "field", F.posexplode_outer(pieces).alias("pos", "p")).select(id_col, "field", "pos", F.col("p.raw").alias("raw"), F.octet_length("p.gap").alias("gap")).where("raw is not null")
     size = F.octet_length("raw")
     before = F.sum(F.col("gap") + size).over(W.partitionBy(id_col, "field").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
     term = normalise(F.col("raw"))

@@ -19,7 +19,7 @@ def conjunctive(queries: DataFrame, postings: DataFrame, id_col: str = "doc_id")
 
     Queries without a term have no hits. Partial counts per (query, document) are combined before the shuffle.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
+    asked = queries.select("query_id", F.explode_outer(F.array_distinct(tokenize(F.col("text")))).alias("term")).where("term is not null")
     wanted = asked.groupBy("query_id").agg(F.count("*").alias("n"))
     met = postings.join(asked, "term").groupBy("query_id", id_col).agg(F.count("*").alias("met"))
     return met.join(wanted, (met["query_id"] == wanted["query_id"]) & (F.col("met") == F.col("n"))).select(met["query_id"], id_col)

@@ -136,7 +136,7 @@ def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.text(path, wholetext=True)
     entry = r"(?s)<(?:\w+:)?(url|sitemap)>(.*?)</(?:\w+:)?(?:url|sitemap)>"
-    e = files.select(F.explode(F.regexp_extract_all("value", F.lit(entry), F.lit(0))).alias("e"))
+    e = files.select(F.explode_outer(F.regexp_extract_all("value", F.lit(entry), F.lit(0))).alias("e")).where("e is not null")
     part = lambda tag: F.nullif(F.trim(F.regexp_extract("e", rf"(?s)<(?:\w+:)?{tag}>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</(?:\w+:)?{tag}>", 1)), F.lit(""))
     plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
     return e.select(F.regexp_extract("e", entry, 1).alias("kind"), plain(part("loc")).alias("loc"), part("lastmod").alias("lastmod")).where("loc is not null")
