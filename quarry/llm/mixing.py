@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are added up by cell, the combination of source, language and topic. Raking scales the cells' weights to each
-marginal's targets in turn until every marginal holds to ``TOLERANCE`` (an error after ``ROUNDS`` rounds: then the
-targets contradict each other); the cells' weights, over their tokens, give each document's probability, scaled so
+marginal's targets in turn until every marginal holds to ``TOLERANCE``; where the cells there are can't meet all
+targets, it ends when ``STUCK`` rounds in a row bring it no nearer (or after ``ROUNDS``), with the last axis's targets
+met. The cells' weights, over their tokens, give each document's probability, scaled so
 that the expected size is the budget, where no probability exceeds one (cells that would are taken whole and the rest
 shares what is left). Such cells keep a marginal from its target, so ``marginals`` reports what is reached. Documents are then drawn by a hash of their id against the probability,
 so that the draw is the same on every run, whatever the partitioning.
@@ -27,8 +28,8 @@ from .common import table
 
 NULL = "\u0000"
 AXES = ("source", "lang", "topic")
-#: Relative error that a marginal may keep, and the rounds after which raking is given up.
-TOLERANCE, ROUNDS = 1e-9, 400
+#: Relative error that a marginal may keep, and the rounds, in all and without progress, after which raking ends.
+TOLERANCE, ROUNDS, STUCK = 1e-9, 200, 3
 #: Categories of an axis whose factors are kept as numbers.
 FEW = 200
 
@@ -97,6 +98,7 @@ def rake(docs: DataFrame, targets: dict[str, dict[str, float] | float], rounds:
         names = cells.select(axis).distinct()
         taken = names.limit(few + 1).collect()
         factors[axis] = {r[0]: 1.0 for r in taken} if len(taken) <= few else table(names.select(F.col(axis).alias("_k"), F.lit(1.0).alias("f")), "factors")
+    before, stuck = float("inf"), 0
     for _ in range(rounds):
         off = 0.0
         for axis in AXES:
@@ -107,12 +109,14 @@ def rake(docs: DataFrame, targets: dict[str, dict[str, float] | float], rounds:
                 off = max(off, *(abs(factors[axis][k] / fresh[k] - 1) for k in fresh))
             else:
                 fresh = table(sums, "factors")
-                off = max(off, fresh.join(factors[axis].withColumnRenamed("f", "before"), "_k").agg(F.max(F.abs(F.col("before") / F.col("f") - 1))).first()[0])
+                off = max(off, fresh.join(factors[axis].withColumnRenamed("f", "old"), "_k").agg(F.max(F.abs(F.col("old") / F.col("f") - 1))).first()[0])
             factors[axis] = fresh
-        if off <= TOLERANCE:
-            each, w = _weights(cells, factors)
-            return each.select(*AXES, "n", *(f"t_{a}" for a in AXES), w.alias("w"))
-    raise ValueError(f"the targets can't be met together: off by {off:.2g} after {rounds} rounds")
+        stuck = stuck + 1 if off > 0.99 * before else 0
+        before = off
+        if off <= TOLERANCE or stuck == STUCK:
+            break
+    each, w = _weights(cells, factors)
+    return each.select(*AXES, "n", *(f"t_{a}" for a in AXES), w.alias("w"))
 
 
 def probabilities(cells: DataFrame, budget: float) -> DataFrame:
