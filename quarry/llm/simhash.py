@@ -23,9 +23,9 @@ Near copies by similarity: at a Jaccard similarity of 0.8 two whole-text fingerp
 than a grid can search. ``near_copies`` therefore fingerprints ``SAMPLES`` min-wise samples of ``SAMPLE_SIZE``
 shingles each (the majority bits of the sampled shingles' hashes) and searches for equal ones, which is min-wise
 hashing in bands rather than the grid; two texts of similarity s agree in such a fingerprint with probability about
-``s ** SAMPLE_SIZE``, so at 0.8 a pair is missed with a probability of 0.00003. In a cell of more than ``HOT_CELL``
-sets pairs have to agree in a second sample as well (missed: 0.0004). Candidates are verified by the exact Jaccard
-similarity of their shingle sets.
+``s ** SAMPLE_SIZE``, so at 0.8 a pair is missed with a probability of 0.00003. The sets in cells of more than
+``HOT_CELL`` are joined by the prefixes of their shingles instead, which misses none. Candidates are verified by the
+exact Jaccard similarity of their shingle sets.
 
 Defined results: a null text counts as empty; rows with a null id are fingerprinted, linked and returned, but never
 name a component, unless the whole component has null ids, whose component is null; repeated rows give repeated
@@ -51,6 +51,8 @@ SAMPLES, SAMPLE_SIZE = 20, 4
 BROADCAST_KEYS = 1_000_000
 #: Points that a cell may hold before it is divided, and so the largest block of pairs that one key makes.
 HOT_CELL = 2000
+#: Sets of large cells whose shingles are counted, and frequent shingles put last by it. They order, they drop nothing.
+ORDER_SAMPLE, ORDER_MOST = 20_000, 20_000
 #: Fingerprints whose cells one task makes.
 SPREAD = 20_000
 _LOW = 0x5555555555555555
@@ -289,45 +291,89 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     sets = table(_shingle_sets(docs, rows, member.select("node").distinct(), words, id_col, text_col), "shingle-sets")
     found = table(_similar(stars, sets, similarity), "copies")
     roots = table(connected_components(found), "roots")
-    rest = table(_apart(member, roots, hot).join(stars, ["u", "v"], "left_anti"), "apart")
+    rest = table(_apart(member, roots, sets, similarity, hot).join(stars, ["u", "v"], "left_anti"), "apart")
     more = table(_similar(rest, sets, similarity), "copies")
     if not more.isEmpty():
         roots = table(connected_components(found.unionByName(more)), "roots")
     return rows.join(roots, F.col("shingles_key") == F.col("node"), "left").select(id_col, "version", F.coalesce("root", "shingles_key").alias("component"))
 
 
-def _apart(member: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
+def _apart(member: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, hot: int) -> DataFrame:
     """Distinct pairs ``(u, v)``, u < v, of nodes in a cell of ``member`` whose components differ.
 
-    Only cells that hold several components are read again. In those with more than ``hot`` nodes, pairs have to share
-    another cell too; if the nodes of two cells are still too many, they are joined block by block.
+    Only cells that hold several components are read again. The nodes of those with more than ``hot`` nodes are joined
+    by prefixes, whichever cells they share: pairs that can't be similar are left out, all others are there.
     """
     cell = ["choice", "key"]
     placed = member.join(roots, "node", "left").select(*cell, "n", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy(*cell).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select(*cell)
     placed = table(placed.join(mixed, cell, "left_semi"), "mixed")
-
-    def join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-        same = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-        for c in on:
-            same &= F.col(f"a.{c}") == F.col(f"b.{c}")
-        return a.alias("a").hint("merge").join(b.alias("b"), same).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-
     calm, large = placed.where(F.col("n") <= hot), placed.where(F.col("n") > hot)
-    pairs = join(calm, calm, cell)
+    pairs = _between(calm, calm, cell)
     if not large.isEmpty():
-        other = placed.select("node", F.col("choice").alias("choice2"), F.col("key").alias("key2"))
-        both = large.join(other, "node").where("choice != choice2").select(*cell, "choice2", "key2", "node", "root")
-        on = [*cell, "choice2", "key2"]
-        both = table(both, "two-cells")
-        dense = _hot(both, on, hot)
-        pairs = pairs.unionByName(join(both.join(dense, on, "left_anti"), both.join(dense, on, "left_anti"), on))
-        if not dense.isEmpty():
-            left, right = in_blocks(both, dense, on, "node", hot)
-            pairs = pairs.unionByName(join(left, right, [*on, "block"]))
+        pairs = pairs.unionByName(_by_prefix(table(large.select("node", "root").distinct(), "large-cells"), sets, similarity, hot))
     return pairs.distinct()
 
 
+def _between(a: DataFrame, b: DataFrame, on: list[str], also: Column | None = None) -> DataFrame:
+    """Pairs ``(u, v)``, u < v, of nodes that agree in ``on`` and whose components differ."""
+    same = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+    for c in on:
+        same &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    return a.alias("a").hint("merge").join(b.alias("b"), same if also is None else same & also).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+
+def _by_prefix(nodes: DataFrame, sets: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """Pairs ``(u, v)``, u < v, of ``nodes(node, root)`` of different components: all that are similar, and few others.
+
+    However all shingles are ordered, two similar sets have their first common shingle early in both: what is left of
+    either set from there on has to hold all they have in common. So only such prefixes are joined, under that bound.
+    Frequent shingles come last, by counts over a sample. The nodes of a shingle that more than ``hot`` prefixes hold
+    are joined block by block.
+    """
+    rows = table(_prefixes(nodes.join(sets, "node"), *_frequent(nodes, sets, hot), similarity), "prefixes")
+    rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    enough = rest >= similarity * (F.col("a.n") + F.col("b.n") - rest)
+    dense = _hot(rows, ["shingle"], hot)
+    if dense.isEmpty():
+        return _between(rows, rows, ["shingle"], enough)
+    calm = rows.join(dense, "shingle", "left_anti")
+    left, right = in_blocks(rows, dense, ["shingle"], "node", hot)
+    return _between(calm, calm, ["shingle"], enough).unionByName(_between(left, right, ["shingle", "block"], enough))
+
+
+def _frequent(nodes: DataFrame, sets: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``ORDER_MOST`` frequent shingles of the ``nodes``' sets, ascending, and their ranks by frequency."""
+    share = -(-nodes.count() // ORDER_SAMPLE)
+    few = nodes.select("node").where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0)
+    counts = sets.join(few, "node", "left_semi").select(F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    top = counts.where(F.col("n") > max(1, hot // (4 * share))).orderBy(F.desc("n"), "x").limit(ORDER_MOST).collect()
+    values = np.array([r.x for r in reversed(top)], dtype=np.int64)
+    ranks = np.argsort(values)
+    return values[ranks], ranks
+
+
+def _prefix(values: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, in order, up to the last that may be the first common one of two similar sets."""
+    rank = np.full(len(values), -1, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
+        rank = np.where(frequent[at] == values, ranks[at], -1)
+    left = len(values) - np.arange(len(values))
+    return values[np.lexsort((values, rank))][left >= similarity * len(values)]
+
+
+def _prefixes(held: DataFrame, frequent: np.ndarray, ranks: np.ndarray, similarity: float) -> DataFrame:
+    """``(node, root, n, pos, shingle)`` of ``held(node, root, shingles)``: sizes and prefixes of the sets."""
+
+    def fn(batch: pa.RecordBatch) -> list:
+        sets = [s.values.to_numpy() for s in batch.column(2)]
+        return [batch.column(0), batch.column(1), [len(s) for s in sets], [_prefix(s, frequent, ranks, similarity) for s in sets]]
+
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("root", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    return arrow_map(held.select("node", "root", "shingles"), fn, schema).select("node", "root", "n", F.posexplode("prefix").alias("pos", "shingle"))
+
+
 def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of near copies: the one with the smallest id (null ids last), all columns.
 

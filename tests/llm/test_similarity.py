@@ -74,6 +74,24 @@ def test_boilerplate_that_many_texts_share(spark, hot):
     assert classes([(r.doc_id, r.component) for r in simhash.near_copies(docs, hot=hot).collect()]) == classes([(i, want[shingles(t)]) for i, t in rows])
 
 
+@pytest.mark.parametrize("hot", [2000, 2, 1])
+def test_similar_texts_that_share_a_single_large_cell(spark, hot):
+    rng = random.Random(7643)
+    a = [f"w{rng.randrange(99999)}" for _ in range(96)]
+    b = [*a[:30], "x", *a[31:70], "y", *a[71:]]
+    rng = random.Random(131)
+    own = [f"z{rng.randrange(99999)}" for _ in range(rng.randrange(5, 60))]
+    c = [*a[:30], *own, *a[31:70], *own[:4], *a[71:]]
+    rows = [(i, " ".join(w)) for i, w in enumerate((a, b, c))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # The third text, similar to neither, is the smallest node of the only cell that the first two share.
+    one, two, hub = ({(i, x) for i, x in enumerate(r.samples)} for r in simhash.sketches(docs).orderBy("doc_id").collect())
+    assert len(one & two) == 1 and one & two <= hub
+    want = expected([t for _, t in rows])
+    got = [(r.doc_id, r.component) for r in simhash.near_copies(docs, hot=hot).collect()]
+    assert classes(got) == classes([(i, want[shingles(t)]) for i, t in rows]) == [[0, 1], [2]]
+
+
 def test_one_row_stays_of_each_group(spark):
     text = " ".join(f"word{i}" for i in range(60))
     rows = [(3, text, "a"), (2, text.upper(), "b"), (2, text.upper(), "b"), (None, text, "c"), (7, None, "d"), (8, "", "e"), (9, " \n", "f"), (None, None, "g"), (5, "other words here", "h"), (5, "quite different text", "i"), (4, text + " more", "j")]
