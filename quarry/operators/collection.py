@@ -217,13 +217,15 @@ def restore_sample(archived: DataFrame, live: DataFrame, per_mille: int = 10) ->
 def repair_urls(frontier: DataFrame, rewrite: Column) -> tuple[DataFrame, DataFrame]:
     """``(repaired, report)``: URLs rewritten where the target is free; taken targets make the old row ``excluded``.
 
-    Pure transforms: running them twice changes nothing, and the report alone is the dry run.
+    Every row stays one row, however often its target is listed; of rows with the same target the first by URL, then
+    state, moves. Rows without a URL are kept. Pure transforms: running them twice changes nothing, and the report alone
+    is the dry run.
     """
     moved = frontier.withColumn("_to", rewrite)
-    taken = frontier.select(F.col("url").alias("_to"), F.lit(True).alias("_taken"))
-    first = F.row_number().over(W.partitionBy("_to").orderBy("url"))
+    taken = frontier.select(F.col("url").alias("_to"), F.lit(True).alias("_taken")).distinct()
+    first = F.row_number().over(W.partitionBy("_to").orderBy("url", "state"))
     marked = moved.join(taken, "_to", "left").withColumn("_k", first)
-    change = F.when(F.col("_to") == F.col("url"), "kept").when(F.col("_taken").isNotNull() | (F.col("_k") > 1), "excluded").otherwise("moved")
+    change = F.when(F.col("_to").isNull() | (F.col("_to") == F.col("url")), "kept").when(F.col("_taken").isNotNull() | (F.col("_k") > 1), "excluded").otherwise("moved")
     marked = marked.withColumn("_change", change)
     repaired = marked.withColumns({"url": F.when(F.col("_change") == "moved", F.col("_to")).otherwise(F.col("url")), "state": F.when(F.col("_change") == "excluded", "excluded").otherwise(F.col("state"))}).select(*frontier.columns)
     return repaired, marked.groupBy(F.col("_change").alias("change")).agg(F.count("*").alias("n"))
