@@ -83,12 +83,16 @@ def token_spans(corpus: DataFrame, id_col: str = "doc_id", fields: tuple[str, ..
     return rows.select(id_col, "field", "pos", (before - size).alias("begin_byte"), before.alias("end_byte"), term.alias("term"), F.length("raw").alias("n_chars"))
 
 
+def collapse_blanks(text: Column, blanks: str = " \t") -> Column:
+    """Runs of blanks become one space, none beside a line end, and at most one empty line stays in a row."""
+    t = F.regexp_replace(text, f"[{blanks}]+", " ")
+    t = F.regexp_replace(t, " *\n *", "\n")
+    return F.regexp_replace(t, "\n{3,}", "\n\n")
+
+
 def clean_text(text: Column) -> Column:
     """Line ends unified, blanks collapsed, lines stripped, at most one empty line in a row."""
-    t = F.regexp_replace(text, "\r\n?", "\n")
-    t = F.regexp_replace(t, "[ \t\u00a0]+", " ")
-    t = F.regexp_replace(t, " *\n *", "\n")
-    return F.trim(F.regexp_replace(t, "\n{3,}", "\n\n"), F.lit(" \n"))
+    return F.trim(collapse_blanks(F.regexp_replace(text, "\r\n?", "\n"), " \t\u00a0"), F.lit(" \n"))
 
 
 def word_count(text: Column) -> Column:
