@@ -10,21 +10,32 @@ text, however long its chains of dots or hyphens, exhausts the regular-expressio
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_LETTER = "A-Za-zА-яЁёÀ-ÖØ-öø-ſ"
+_OTHER = "А-яЁёÀ-ÖØ-öø-ſ"
+_LETTER = "A-Za-z" + _OTHER
 _WORD = "0-9" + _LETTER
 _MARK = "\u0300-\u036f"
 _JOIN = "\\-\u2010\u2011'\u2019\u02bc"
-_TAIL = f"(?:[{_JOIN}][{_WORD}][{_WORD}{_MARK}]*)*+"
-TOKEN = (
-    rf"(?<!\.)[{_LETTER}](?:\.[{_LETTER}]){{2,}}+(?![{_WORD}{_MARK}])\.?"
-    rf"|[cC](?:#|\+\+)[0-9]*+(?![{_WORD}{_MARK}+#]){_TAIL}"
-    rf"|(?:[vV]?[0-9]+(?:\.[0-9]+)++|[{_WORD}])[{_WORD}{_MARK}]*{_TAIL}"
-)
+
+
+def _pattern(letter: str, word: str, run: str, no_c: str) -> str:
+    """The token pattern over four classes: letters, word characters, these with marks, and these with + and # besides."""
+    tail = f"(?:[{_JOIN}]{word}{run}*+)*+"
+    return (
+        rf"(?={word})(?:(?<!\.){letter}(?:\.{letter}){{2,}}+(?!{run})\.?"
+        rf"|[cC](?:#|\+\+)[0-9]*+(?!{no_c}){tail}"
+        rf"|(?:[vV]?[0-9]+(?:\.[0-9]+)++|{word}){run}*+{tail})"
+    )
+
+
+TOKEN = _pattern(f"[{_LETTER}]", f"[{_WORD}]", f"[{_WORD}{_MARK}]", f"[{_WORD}{_MARK}+#]")
+#: The same for Java, where a union of ranges is tried one by one: ASCII by its own class first.
+TOKEN_JAVA = _pattern(*(rf"[\p{{{c}}}[{_OTHER}{more}]]" for c, more in (("Alpha", ""), ("Alnum", ""), ("Alnum", _MARK), ("Alnum", _MARK + "+#"))))
 #: The third branch without possessive marks: what RE2 can do; equal on texts without acronyms and C languages.
 TOKEN_RE2 = rf"(?:[vV]?[0-9]+(?:\.[0-9]+)+|[{_WORD}])[{_WORD}{_MARK}]*(?:[{_JOIN}][{_WORD}][{_WORD}{_MARK}]*)*"
 #: Characters with a fold of their own, what they become, and the stand-in that keeps the dotted capital I.
@@ -35,7 +46,7 @@ _TOKEN, _ACRONYM, _FOLDS = re.compile(TOKEN), re.compile(rf"[{_LETTER}]\."), str
 
 def raw_tokens(text: Column) -> Column:
     """The tokens of a text as they stand, in order."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(TOKEN_JAVA), F.lit(0))
 
 
 def normalise(token: Column) -> Column:
@@ -44,6 +55,19 @@ def normalise(token: Column) -> Column:
     return F.when(folded.rlike(rf"^[{_LETTER}]\."), F.replace(folded, F.lit("."), F.lit(""))).otherwise(folded)
 
 
+def is_odd(text: Column) -> Column:
+    """Whether any token of a text may need more than lower case: a character with a fold of its own, or an acronym.
+
+    Asked once for a text, it spares ``normalise`` for each of its tokens.
+    """
+    folds = (F.contains(text, F.lit(c)) for c in _FOLD_FROM + _KEEP)
+    return reduce(lambda a, b: a | b, folds, text.rlike(rf"\.[\p{{Alpha}}[{_OTHER}]]\."))
+
+
+def normalise_if(odd: Column, token: Column) -> Column:
+    return F.when(odd, normalise(token)).otherwise(F.lower(token))
+
+
 def tokenize(text: Column) -> Column:
     """Array of normalised tokens; a token's position is its index."""
     return F.transform(raw_tokens(text), normalise)
@@ -61,10 +85,10 @@ def tokens_of(text: str) -> list[str]:
 def tokens(corpus: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...] = ("title", "body"), keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, field, pos, term, *keep)``: one row per token; field is the index in ``fields``."""
     texts = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("field"), F.col(f).alias("t")) for i, f in enumerate(fields)))
-    each = corpus.select(id_col, *keep, F.explode(texts).alias("f")).select(id_col, *keep, F.col("f.field").alias("field"), raw_tokens(F.col("f.t")).alias("a"))
+    each = corpus.select(id_col, *keep, F.explode(texts).alias("f")).select(id_col, *keep, F.col("f.field").alias("field"), raw_tokens(F.col("f.t")).alias("a"), is_odd(F.col("f.t")).alias("odd"))
     # Outer, as an inner explosion would bring a filter that tokenizes the text once more.
-    found = each.select(id_col, *keep, "field", F.posexplode_outer("a").alias("pos", "raw")).where("raw is not null")
-    return found.select(id_col, "field", "pos", normalise(F.col("raw")).alias("term"), *keep)
+    found = each.select(id_col, *keep, "field", "odd", F.posexplode_outer("a").alias("pos", "raw")).where("raw is not null")
+    return found.select(id_col, "field", "pos", normalise_if(F.col("odd"), F.col("raw")).alias("term"), *keep)
 
 
 def token_spans(corpus: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...] = ("title", "body")) -> DataFrame:
@@ -75,7 +99,7 @@ def token_spans(corpus: DataFrame, id_col: str = "doc_id", fields: tuple[str, ..
     """
     texts = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("field"), F.col(f).alias("t")) for i, f in enumerate(fields)))
     each = corpus.select(id_col, F.explode(texts).alias("f")).select(id_col, F.col("f.field").alias("field"), F.col("f.t").alias("t"))
-    pieces = F.arrays_zip(raw_tokens(F.col("t")).alias("raw"), F.split("t", TOKEN, -1).alias("gap"))
+    pieces = F.arrays_zip(raw_tokens(F.col("t")).alias("raw"), F.split("t", TOKEN_JAVA, -1).alias("gap"))
     rows = each.select(id_col, "field", F.posexplode_outer(pieces).alias("pos", "p")).select(id_col, "field", "pos", F.col("p.raw").alias("raw"), F.octet_length("p.gap").alias("gap")).where("raw is not null")
     size = F.octet_length("raw")
     before = F.sum(F.col("gap") + size).over(W.partitionBy(id_col, "field").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,29 +34,32 @@ def norms(postings_: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return postings_.groupBy(id_col).agg(F.sqrt(F.sum(w * w)).alias("norm"))
 
 
-def _sorted(df: DataFrame, order: list[str], buckets: int | None) -> DataFrame:
-    """By ranges of all of ``order``, so that the rows of one term may fill many files."""
-    return (df.repartitionByRange(buckets, *order) if buckets else df.repartitionByRange(*order)).sortWithinPartitions(*order)
+def write_tokens(tokens_: DataFrame, path: str, id_col: str = "doc_id") -> None:
+    """``(id, field, pos, term)`` as Parquet, each partition's files sorted by term.
 
+    Partitions are left as they are: of tokens that come by document, each holds whole documents of a bounded size, so
+    that nothing is shuffled, no task grows with the table, and every word is spread over all files, where it is found
+    by the statistics of the pages.
+    """
+    tokens_.select(id_col, "field", "pos", "term").sortWithinPartitions("term", id_col, "field", "pos").write.mode("errorifexists").parquet(path)
 
-def write_term_space(tokens_: DataFrame, path: str, id_col: str = "doc_id", buckets: int | None = None) -> None:
-    """Tokens, postings and norms of one term space as Parquet, the first two sorted by term, so that a term's row
-    groups are found by their statistics. Fails if a folder exists."""
-    spark = tokens_.sparkSession
-    raw = table(tokens_.select(id_col, "field", "pos", "term"), "index-tokens")
-    _sorted(raw, ["term", id_col, "field", "pos"], buckets).write.mode("errorifexists").parquet(f"{path}/tokens")
-    _sorted(table(postings(raw, id_col), "index-postings"), ["term", id_col], buckets).write.mode("errorifexists").parquet(f"{path}/postings")
-    norms(spark.read.parquet(f"{path}/postings"), id_col).write.mode("errorifexists").parquet(f"{path}/norms")
 
+def write_postings(postings_: DataFrame, path: str, id_col: str = "doc_id") -> None:
+    """``(term, id, tf)`` in the same way."""
+    postings_.select("term", id_col, "tf").sortWithinPartitions("term", id_col).write.mode("errorifexists").parquet(path)
 
-def write_index(corpus: DataFrame, path: str, id_col: str = "doc_id", buckets: int | None = None) -> None:
-    """The index of a corpus's words; see ``write_term_space``."""
-    write_term_space(tokens(corpus, id_col), path, id_col, buckets)
 
+def write_norms(postings_: DataFrame, path: str, id_col: str = "doc_id") -> None:
+    """``(id, norm)`` of stored postings: as a file holds few documents, most is summed before the shuffle."""
+    norms(postings_, id_col).write.mode("errorifexists").parquet(path)
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tokens, postings and norms of a written index."""
-    return tuple(spark.read.parquet(f"{path}/{part}") for part in ("tokens", "postings", "norms"))
+
+def write_index(corpus: DataFrame, path: str, id_col: str = "doc_id", buckets: int | None = None) -> None:
+    """Tokens, postings and norms of a corpus's words. Fails if a folder exists."""
+    found = tokens(corpus.repartition(buckets, id_col) if buckets else corpus, id_col)
+    write_tokens(found, f"{path}/tokens", id_col)
+    write_postings(postings(found, id_col), f"{path}/postings", id_col)
+    write_norms(corpus.sparkSession.read.parquet(f"{path}/postings"), f"{path}/norms", id_col)
 
 
 def dictionary(pairs: DataFrame) -> DataFrame:
@@ -99,6 +102,52 @@ def _bounded(dictionary_: DataFrame, rows: int = 2_000_000) -> bool:
     return dictionary_.limit(rows + 1).count() <= rows
 
 
+def inflections(dictionary_: DataFrame) -> DataFrame:
+    """``(term)``: all words that may have a lemma, the rules of ``lemmatize`` read backwards from the dictionary's keys.
+
+    Some have none; no word outside has any. Their number goes with the dictionary, not with the corpus.
+    """
+    key = F.col("key")
+    words = [F.when(key.startswith(p), F.expr(f"substring(key, {len(p) + 1})")) for p in ("ru:", *(f"{pos}:" for pos in _POS), *(f"x:{pos}:" for pos in _POS))]
+    for pos, suffix, ending in SUFFIXES:
+        stem = F.expr(f"substring(key, 3, length(key) - {2 + len(ending)})")
+        words.append(F.when(key.startswith(f"{pos}:") & key.endswith(ending), F.concat(stem, F.lit(suffix))))
+    return dictionary_.select(F.explode(F.array(*words)).alias("term")).where("term is not null").distinct()
+
+
+def lemma_map(dictionary_: DataFrame) -> DataFrame:
+    """``(term, lemmas)`` of all words that the dictionary knows, in whatever corpus."""
+    return table(lemmatize(inflections(dictionary_), dictionary_).where("known").select("term", "lemmas"), "lemma-map")
+
+
+def _with_lemmas(rows: DataFrame, known: DataFrame) -> DataFrame:
+    found = known.select("term", F.col("lemmas").alias("_lemmas"))
+    return rows.join(F.broadcast(found) if _bounded(found) else found, "term", "left")
+
+
+def lemmas_of(terms: DataFrame, known: DataFrame) -> DataFrame:
+    """``terms`` with ``(lemmas, known)`` by ``lemma_map``; the same as ``lemmatize``, without a candidate key of any word."""
+    return _with_lemmas(terms, known).select(*terms.columns, F.coalesce("_lemmas", F.array("term")).alias("lemmas"), F.col("_lemmas").isNotNull().alias("known"))
+
+
+#: Words that are listed in the filter of a scan.
+LISTED = 4096
+
+
+def in_lemma_space(rows: DataFrame, known: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """Rows with ``term`` once for each lemma of it, by ``lemma_map``.
+
+    ``only`` keeps the rows of these lemmas; the words that have them reach the scan.
+    """
+    if only is not None:
+        having = known.where(F.arrays_overlap("lemmas", F.array(*map(F.lit, only)))) if only else known.where(F.lit(False))
+        words = [r.term for r in having.select("term").limit(LISTED + 1).collect()]
+        if len(words) <= LISTED:
+            rows = rows.where(F.col("term").isin(*only, *words))
+    each = _with_lemmas(rows, known).select(*(c for c in rows.columns if c != "term"), F.explode(F.coalesce("_lemmas", F.array("term"))).alias("term"))
+    return each if only is None else each.where(F.col("term").isin(*only))
+
+
 def lemma_tokens(tokens_: DataFrame, lemmas: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Tokens of the lemma space: one row per distinct (id, field, pos, lemma)."""
     return tokens_.join(lemmas.select("term", F.explode("lemmas").alias("lemma")), "term").select(id_col, "field", "pos", F.col("lemma").alias("term")).distinct()
