@@ -5,9 +5,11 @@ from __future__ import annotations
 import html as _html
 import json
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -308,10 +310,22 @@ def parse_page(html: str | None) -> tuple:
 _PARSED = T.StructType([*(T.StructField(n, T.StringType()) for n in ("title", "text", "body", "author", "published_at", "section")), T.StructField("keywords", T.ArrayType(T.StringType()))])
 
 
-@F.pandas_udf(_PARSED)
-def parse_html(pages: pd.Series) -> pd.DataFrame:
-    """``parse_page`` of a column."""
-    return pd.DataFrame([parse_page(p) for p in pages], columns=["title", "text", "body", "author", "published_at", "section", "keywords"])
+#: Pages that are parsed before their results go back.
+PAGES = 256
+
+
+@F.arrow_udf(_PARSED)
+def parse_html(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """``parse_page`` of a column.
+
+    A batch stays in Arrow's buffer but for ``PAGES`` of it at a time, so that a worker doesn't hold the strings, texts and
+    bodies of all pages of a batch.
+    """
+    kinds = [*[pa.string()] * 6, pa.list_(pa.string())]
+    for batch in batches:
+        for lo in range(0, max(len(batch), 1), PAGES):
+            rows = [parse_page(p) for p in batch.slice(lo, PAGES).to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=_PARSED.names)
 
 
 @F.pandas_udf(T.StringType())
