@@ -12,9 +12,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OTHER = "А-яЁёÀ-ÖØ-öø-ſ"
 _LETTER = "A-Za-z" + _OTHER
@@ -91,20 +92,34 @@ def tokens(corpus: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...] =
     return found.select(id_col, "field", "pos", normalise_if(F.col("odd"), F.col("raw")).alias("term"), *keep)
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def running_sums(lists: pa.Array) -> pa.Array:
+    """The running sums within each list of numbers, all lists of a batch at once."""
+    import numpy as np
+
+    ends = np.asarray(lists.offsets, dtype=np.int64)
+    total = np.concatenate([[0], np.cumsum(lists.values.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    each = total[ends[0] + 1 : ends[-1] + 1] - np.repeat(total[ends[:-1]], np.diff(ends))
+    return pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(each))
+
+
 def token_spans(corpus: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...] = ("title", "body")) -> DataFrame:
     """``(id, field, pos, begin_byte, end_byte, term, n_chars)`` with UTF-8 offsets in the field.
 
-    Offsets are sums of the lengths of gaps and tokens, by a running sum per document and field: linear in the text.
-    Ids have to be unique.
+    Offsets are running sums of the lengths of gaps and tokens within the row of a text: linear in the text, and no
+    token is shuffled or sorted.
     """
     texts = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("field"), F.col(f).alias("t")) for i, f in enumerate(fields)))
-    each = corpus.select(id_col, F.explode(texts).alias("f")).select(id_col, F.col("f.field").alias("field"), F.col("f.t").alias("t"))
-    pieces = F.arrays_zip(raw_tokens(F.col("t")).alias("raw"), F.split("t", TOKEN_JAVA, -1).alias("gap"))
-    rows = each.select(id_col, "field", F.posexplode_outer(pieces).alias("pos", "p")).select(id_col, "field", "pos", F.col("p.raw").alias("raw"), F.octet_length("p.gap").alias("gap")).where("raw is not null")
-    size = F.octet_length("raw")
-    before = F.sum(F.col("gap") + size).over(W.partitionBy(id_col, "field").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    term = normalise(F.col("raw"))
-    return rows.select(id_col, "field", "pos", (before - size).alias("begin_byte"), before.alias("end_byte"), term.alias("term"), F.length("raw").alias("n_chars"))
+    each = corpus.select(id_col, F.explode(texts).alias("f")).select(id_col, F.col("f.field").alias("field"), F.coalesce("f.t", F.lit("")).alias("t"))
+    each = each.select(id_col, "field", raw_tokens(F.col("t")).alias("raw"), F.split("t", TOKEN_JAVA, -1).alias("gap"), is_odd(F.col("t")).alias("odd"))
+    # The last gap has no token after it.
+    sizes = F.zip_with("raw", F.slice("gap", F.lit(1), F.size("raw")), lambda r, g: (F.octet_length(r) + F.octet_length(g)).cast("long"))
+    each = each.select(id_col, "field", "raw", "odd", running_sums(sizes).alias("end"))
+    rows = each.select(id_col, "field", "odd", F.posexplode_outer(F.arrays_zip("raw", "end")).alias("pos", "p")).select(id_col, "field", "odd", "pos", F.col("p.raw").alias("raw"), F.col("p.end").alias("end")).where("raw is not null")
+    return rows.select(
+        id_col, "field", "pos", (F.col("end") - F.octet_length("raw")).alias("begin_byte"), F.col("end").alias("end_byte"),
+        normalise_if(F.col("odd"), F.col("raw")).alias("term"), F.length("raw").alias("n_chars"),
+    )
 
 
 def collapse_blanks(text: Column, blanks: str = " \t") -> Column:
