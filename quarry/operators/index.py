@@ -247,16 +247,20 @@ def front_coding(vocabulary_: DataFrame, block: int = 16) -> DataFrame:
 def verify(postings_: DataFrame, vocabulary_: DataFrame, documents: DataFrame, norms_: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(check, violations)``: uniqueness, referential integrity, document frequencies, finite positive norms."""
     counted = postings_.groupBy("term").agg(F.count("*").alias("n"))
+    # A row for each document instead of its postings meets documents and norms.
+    held = postings_.groupBy(id_col).agg(F.count("*").alias("n"))
+    count = F.count("*")
     checks = {
-        "duplicate postings": postings_.groupBy("term", id_col).count().where("count > 1"),
-        "unknown documents": postings_.join(documents, id_col, "left_anti"),
-        "postings without frequency": postings_.where("tf is null or tf < 1"),
-        "wrong document frequency": vocabulary_.join(counted, "term", "full").where("df is distinct from n"),
-        "norms missing": postings_.select(id_col).distinct().join(norms_, id_col, "left_anti"),
-        "norms not positive": norms_.where("norm is null or norm <= 0 or isnan(norm)"),
+        # By id first: counts of pairs that hardly repeat would only fill the memory of a task before the shuffle.
+        "duplicate postings": (postings_.repartition(id_col).groupBy("term", id_col).count().where("count > 1"), count),
+        "unknown documents": (held.join(documents, id_col, "left_anti"), F.coalesce(F.sum("n"), F.lit(0))),
+        "postings without frequency": (postings_.where("tf is null or tf < 1"), count),
+        "wrong document frequency": (vocabulary_.join(counted, "term", "full").where("df is distinct from n"), count),
+        "norms missing": (held.join(norms_, id_col, "left_anti"), count),
+        "norms not positive": (norms_.where("norm is null or norm <= 0 or isnan(norm)"), count),
     }
     out = None
-    for name, bad in checks.items():
-        one = bad.agg(F.lit(name).alias("check"), F.count("*").alias("violations"))
+    for name, (bad, violations) in checks.items():
+        one = bad.agg(F.lit(name).alias("check"), violations.alias("violations"))
         out = one if out is None else out.unionByName(one)
     return out
